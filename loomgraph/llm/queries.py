@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import piece_codec
 from .embedding_neardup import vector_duplicates
+from .language_id import identify
 from .minhash_neardup import near_duplicates
+from .packing import pack
 from .quality_rules import quality_rules
 from .storage import table
 from .substring_dedup import remove_repeats
 
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -146,3 +156,18 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) ON node = v.vec_id
 """
+
+
+@query
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
