@@ -16,9 +16,10 @@ a text of fewer words is one run). Two are linked when their Jaccard similarity
 4. Hubs: every document is compared with the best sketch among the smallest ids of
    its buckets; this joins the members of large groups in linear work.
 5. The rest: buckets that still hold more than one component are cut into blocks of
-   ``block`` documents, and each pair of blocks is compared by sketch in one task.
-   Only pairs of different components that no earlier band holds are confirmed, and
-   a block returns one link for each pair of components that it joins, never all pairs.
+   ``block`` documents of the main component; the others, usually few, are compared by
+   sketch with each block and with each other. Only pairs of different components
+   that no earlier band holds are confirmed, and a block returns one link for each
+   pair of components that it joins, never all pairs.
 
 Nulls: a document without words (or with a null text) is in no set and linked with
 nothing; a null id takes no part and is returned with a null component. Rows that
@@ -204,13 +205,13 @@ class _Union:
 
 
 def _pairs(part: dict, limit: int, percent: int, bands: int):
-    """Pairs (i, j) of one block pair that need a full check: different components, sizes and sketches
-    that allow a link, and no earlier band in common."""
-    component, n, sketch, keys, side, band = (part[c] for c in ("component", "n", "sketch", "keys", "side", "band"))
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)
-    for i in left:
-        js = right[right > i] if side[i] == 2 else right
+    """Pairs (i, j) of a block that need a full check: different components, sizes and sketches that
+    allow a link, and no earlier band in common. Side 0 is the bucket's main component, 1 others, 2
+    others in the block where they meet others of larger ids."""
+    ids, component, n, sketch, keys, side, band = (part[c] for c in ("id", "component", "n", "sketch", "keys", "side", "band"))
+    main, others = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+    for i in others:
+        js = np.r_[main, others[ids[others] > ids[i]]] if side[i] == 2 else main
         fits = (component[js] != component[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))
         js = js[fits]
         if not len(js):
@@ -232,11 +233,11 @@ def _part(rows: pa.Table, bands: int) -> dict:
     return out | {"keys": keys, "sketch": sketch, "band": int(rows["band"][0].as_py())}
 
 
-_PART = ["key", "band", "x", "y"]
+_PART = ["key", "band", "x"]
 
 
 def _screen(limit: int, percent: int, bands: int):
-    """Which documents of a block pair have a pair that needs a full check."""
+    """Which documents of a block have a pair that needs a full check."""
 
     def run(table: pa.Table) -> pa.Table:
         part = _part(table, bands)
@@ -249,7 +250,7 @@ def _screen(limit: int, percent: int, bands: int):
 
 
 def _settle(limit: int, percent: int, bands: int):
-    """Links that join components, from the pairs of a block pair, most alike first."""
+    """Links that join components, from the pairs of a block, most alike first."""
 
     def run(table: pa.Table) -> pa.Table:
         part = _part(table, bands)
@@ -273,7 +274,7 @@ def near_duplicates(
     percent: int = 75,
     bands: int = 48,
     rows: int = 5,
-    block: int = 256,
+    block: int = 1024,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links) and kept (doc_id = component_id)."""
     spark = docs.sparkSession
@@ -314,7 +315,7 @@ def near_duplicates(
     hashes = written(hashes, "hashes")
     pairs = to_hub.join(hashes, "id").join(hashes.select(F.col("id").alias("hub"), F.col("hashes").alias("hub_hashes")), "hub")
     links = pairs.select("id", "hub", "hashes", "hub_hashes").mapInArrow(_confirm_pairs(percent), "id long, hub long")
-    links = written(links.select(F.col("id").alias("a"), F.col("hub").alias("b")), "links")
+    links = written(links.select(F.col("id").alias("a"), F.col("hub").alias("b")), "links", batch_rows=500)
     labels = written(components(links), "labels")
     discard(to_hub, hashes)
 
@@ -326,24 +327,17 @@ def near_duplicates(
         labelled.groupBy("key", "band")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
         .where("low != high")
-        .select("key", "band", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+        .select("key", "band", "low", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     )
     rest = labelled.join(mixed, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     placed = (
-        rest.withColumn("other", F.explode(others))
-        .select(
-            "key",
-            "band",
-            "id",
-            "component",
-            F.least("own", "other").alias("x"),
-            F.greatest("own", "other").alias("y"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
+        rest.withColumn("x", F.explode(F.when(F.col("component") == F.col("low"), F.array("own")).otherwise(everywhere)))
+        .withColumn("side", F.when(F.col("component") == F.col("low"), 0).when(F.col("x") == F.col("own"), 2).otherwise(1))
+        .select("key", "band", "id", "component", "x", "side")
         .join(signs, "id")
     )
-    shape = "key long, band int, x int, y int, id long, component long, n long, sketch binary, keys array<long>, side int"
+    shape = "key long, band int, x int, id long, component long, n long, sketch binary, keys array<long>, side int"
     screened = placed.groupBy(*_PART).applyInArrow(_screen(limit, percent, bands), shape)
     screened = written(screened, "screened")
     discard(buckets)

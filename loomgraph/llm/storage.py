@@ -18,15 +18,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Unlike ``persist`` this survives the loss of executors, and unlike a plain
-    plan it is evaluated once, so later jobs see the same rows.
+    plan it is evaluated once, so later jobs see the same rows. Python code behind it
+    gets at most ``batch_rows`` rows at a time, which bounds its memory.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(batch_rows, int(before))) if int(before) > 0 else str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    spark._jvm.System.gc()  # the shuffle files behind it are of no more use; the driver's collector frees them
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
