@@ -1,18 +1,19 @@
 """Near-duplicate vectors of one label, found through an inverted multi-index.
 
 Each half of the (normalised) vectors has a codebook of its own; the product of both is
-a grid of cells (Babenko, Lempitsky 2012). Every vector is filed in one cell, and asks
-the cells around it in the order of the multi-sequence traversal, nearest first. A
-vector within the limit can only lie in a cell whose two halves are both within reach,
-by the triangle inequality on each half, so cells beyond it are passed over; the
-traversal ends when the cells left can hold less than ``1 - recall`` of the neighbours
-that a bounded sample showed. With ``recall=1`` it goes on to the last cell in reach.
+a grid of cells (Babenko, Lempitsky 2012), about ``per_cell`` vectors of the largest
+label to a cell. Every vector is filed in its nearest cell, and asks the cells around it
+in the order of the multi-sequence traversal, nearest first, until the target recall.
+How far that is comes from a bounded sample: each of its vectors is turned by exactly
+the limit's angle in random directions, the hardest neighbours there are, and the
+traversal goes on to the cost that reaches ``recall`` of them. Nearer ones are found
+more often still. All pairs that meet are verified in double precision.
 
 Codebooks are fitted on at most ``sample`` vectors; every vector is indexed and every
 vector asks. Vectors of one label that are equal bit for bit share an index entry with
 their count. Cells are cut into blocks of ``block`` vectors; a block is compared with
-those that ask for it as a product of matrices in double precision, and returns a
-count for each asker and one link for each group it joins, never all pairs.
+those that ask for it as a product of matrices, and returns a count for each asker and
+one link for each group it joins, never all pairs.
 
 Nulls: vectors that are null, zero, of another length than most, or hold null or
 non-finite parts, and those with a null label, link with nothing. A null id is returned
@@ -22,6 +23,8 @@ counts the others as links. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,8 @@ from .components import components
 from .storage import discard, pick, written
 
 TRAIN_SEED = 4
+#: Of a half; the grid has the square of it.
+MOST_CENTERS = 256
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -78,66 +83,47 @@ def traversal(one: np.ndarray, two: np.ndarray):
 
 
 class Grid:
-    """Codebooks of both halves and how far the limit reaches.
-
-    Two unit vectors with cosine c are sqrt(2 - 2c) apart, and so are at most their
-    halves; the squares of both halves' distances add up to that.
-    """
+    """Codebooks of both halves, and how far the traversal goes."""
 
-    def __init__(self, sample: np.ndarray, size: int, limit: float):
+    def __init__(self, sample: np.ndarray, size: int):
         self.half = sample.shape[1] // 2
         self.books = [codebook(sample[:, : self.half], size), codebook(sample[:, self.half :], size)]
-        self.square = 2 - 2 * limit + 1e-9
         self.stop = np.inf
 
-    def sides(self, x: np.ndarray) -> list[np.ndarray]:
-        return [_distances(x[:, : self.half], self.books[0]), _distances(x[:, self.half :], self.books[1])]
+    def costs(self, x: np.ndarray) -> list[np.ndarray]:
+        """Of each half: squared distances to all centers, less that to the nearest."""
+        both = (_distances(x[:, : self.half], self.books[0]) ** 2, _distances(x[:, self.half :], self.books[1]) ** 2)
+        return [c - c.min(axis=1, keepdims=True) for c in both]
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.sides(x)
+        a, b = self.costs(x)
         return a.argmin(1) * len(self.books[1]) + b.argmin(1)
 
-    def least(self, x: np.ndarray, side: int, d: np.ndarray) -> np.ndarray:
-        """Least distance of a half to any point of each cell of its book: to the plane between its center and the nearest."""
-        centers = self.books[side]
-        near = d.argmin(1)
-        apart = _distances(centers, centers)[near]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = (d**2 - d[np.arange(len(d)), near][:, None] ** 2) / (2 * apart)
-        return np.where(apart > 0, np.maximum(out, 0), 0.0)
-
     def visits(self, x: np.ndarray):
         """Of each row, the cells that it asks, nearest first."""
-        d = self.sides(x)
-        low = [self.least(x[:, : self.half], 0, d[0]) ** 2, self.least(x[:, self.half :], 1, d[1]) ** 2]
+        costs = self.costs(x)
+        order = [np.argsort(c, axis=1, kind="stable") for c in costs]
+        sorted_costs = [np.take_along_axis(c, o, 1) for c, o in zip(costs, order, strict=True)]
         for r in range(len(x)):
-            order = [np.argsort(low[s][r], kind="stable") for s in (0, 1)]
-            reach = [o[low[s][r][o] <= self.square] for s, o in enumerate(order)]
-            costs = [low[s][r][o] for s, o in enumerate(reach)]
             cells = []
-            for cost, i, j in traversal(costs[0], costs[1]):
-                if cost > min(self.square, self.stop):
+            for cost, i, j in traversal(sorted_costs[0][r], sorted_costs[1][r]):
+                if cost > self.stop:
                     break
-                cells.append(int(reach[0][i]) * len(self.books[1]) + int(reach[1][j]))
+                cells.append(int(order[0][r, i]) * len(self.books[1]) + int(order[1][r, j]))
             yield cells
 
-    def settle(self, sample: np.ndarray, labels: np.ndarray, limit: float, recall: float) -> None:
-        """Where the traversal may stop: the cost that holds ``recall`` of the sample's linked pairs."""
-        if recall >= 1:
-            return
-        costs = []
-        for label in np.unique(labels):
-            x = sample[labels == label]
-            d = self.sides(x)
-            low = [self.least(x[:, : self.half], 0, d[0]) ** 2, self.least(x[:, self.half :], 1, d[1]) ** 2]
-            homes = [side.argmin(1) for side in d]
-            i, j = np.nonzero(x @ x.T >= limit)
-            other = i != j
-            i, j = i[other], j[other]
-            costs.append(low[0][i, homes[0][j]] + low[1][i, homes[1][j]])
-        costs = np.concatenate(costs) if costs else np.empty(0)
-        if len(costs):
-            self.stop = float(np.quantile(costs, recall, method="higher"))
+    def settle(self, sample: np.ndarray, limit: float, recall: float, turns: int = 4) -> None:
+        """Stop at the cost that reaches ``recall`` of the neighbours right at the limit."""
+        r = np.random.Generator(np.random.PCG64(TRAIN_SEED))
+        a, b = self.costs(sample)
+        rows, found = np.arange(len(sample)), []
+        for _ in range(turns):
+            aside = r.normal(size=sample.shape)
+            aside -= (aside * sample).sum(1, keepdims=True) * sample
+            near = limit * sample + np.sqrt(1 - limit * limit) * _unit(aside)
+            home = self.home(near)
+            found.append(a[rows, home // len(self.books[1])] + b[rows, home % len(self.books[1])])
+        self.stop = float(np.quantile(np.concatenate(found), recall, method="higher"))
 
 
 def _place(grid: Grid, width: int):
@@ -210,13 +196,13 @@ def vector_duplicates(
     vector_col: str = "embedding",
     label_col: str = "label",
     limit: float = 0.93,
-    book: int = 32,
-    recall: float = 1.0,
+    per_cell: int = 64,
+    recall: float = 0.9995,
     sample: int = 4096,
     block: int = 2048,
 ) -> DataFrame:
     """Per row: vec_id, n_links, component_id (smallest id reachable) and kept (vec_id = component_id)."""
-    rows = pick(vectors, id=id_col, v=vector_col, label=label_col).withColumn("v", F.col("v").cast("array<double>"))
+    rows = pick(vectors, id=id_col, v=vector_col, label=label_col)
     sound = (
         F.col("id").isNotNull()
         & F.col("label").isNotNull()
@@ -232,20 +218,21 @@ def vector_duplicates(
 
     usable = rows.where(sound & (F.size("v") == width))
     classes = written(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    some = classes.orderBy(F.xxhash64("rep"), "rep", "label").limit(sample).select("label", "v").toArrow()
+    some = classes.orderBy(F.xxhash64("rep"), "rep", "label").limit(sample).select("v").toArrow()
     x = _unit(_matrix(some["v"], width))
-    grid = Grid(x, book, limit)
-    grid.settle(x, np.array(some["label"].to_pylist(), dtype=object).astype(str), limit, recall)
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    grid = Grid(x, min(max(2, math.ceil(math.sqrt(largest / per_cell))), MOST_CENTERS))
+    grid.settle(x, limit, recall)
 
-    kind = dict(classes.dtypes)["label"]
-    cells = classes.mapInArrow(_place(grid, width), f"label {kind}, v array<double>, rep long, n long, cell long")
+    kind, parts = dict(classes.dtypes)["label"], dict(classes.dtypes)["v"]
+    cells = classes.mapInArrow(_place(grid, width), f"label {kind}, v {parts}, rep long, n long, cell long")
     cells = written(cells, "cells")
     sizes = cells.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     filed = cells.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     filed = filed.select("label", "cell", "block", "rep", "n", "v")
     asking = (
         cells.select("label", "rep", "v")
-        .mapInArrow(_ask(grid, width), f"label {kind}, rep long, v array<double>, cell long")
+        .mapInArrow(_ask(grid, width), f"label {kind}, rep long, v {parts}, cell long")
         .join(sizes, ["label", "cell"])
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("label", "cell", "block", "rep", "v")

@@ -50,8 +50,8 @@ def run(spark, rows, **more):
 def test_against_brute_force_and_recall(spark):
     rows = make(1)
     want = brute(rows)
-    assert run(spark, rows, book=4, block=5) == want
-    found = sum(n for _, n, _, _ in run(spark, rows, book=4, recall=0.95))
+    assert run(spark, rows, per_cell=4, block=5) == want
+    found = sum(n for _, n, _, _ in run(spark, rows, per_cell=2, recall=0.95))
     assert found >= 0.9 * sum(n for _, n, _, _ in want)
 
 
