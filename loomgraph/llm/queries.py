@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from . import piece_codec
 from .embedding_neardup import vector_duplicates
 from .language_id import identify
+from .lm_scoring import lattice_scores
 from .minhash_neardup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .storage import table
 from .substring_dedup import remove_repeats
+from .toxicity import classify
+from .url_filter import judge
 
 
 def vocabulary(name: str) -> str:
@@ -171,3 +174,22 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: From the narrow categories to all toxicity, as far as the labels tell them apart.
+TOXICITY = {"toxic_junk": "toxic = 1 AND quality = 0", "toxic_prose": "toxic = 1 AND quality = 1", "toxic": "toxic = 1"}
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TOXICITY)
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
