@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories are predicted in order. Each has a logistic model on the words of a text
-(lower-cased A-Z, ASCII punctuation at their ends off, hashed, present or not, scaled by
+(lower-cased A-Z, ASCII punctuation at their ends off, present or not, scaled by
 their naive Bayes log ratio: Wang, Manning 2012) and on the log odds of all categories
 before it. For training, those come from models that did not see the document (``folds``
 out-of-fold parts); for scoring, from the models of the whole sample. The last category's
@@ -24,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import pick
-from .words import slices
+from .words import signed, slices
 
-BITS = 18
 #: Words that a model keeps: those whose presence differs most between the classes.
 FEATURES = 4096
 #: Standard deviations that a word's presence differs by, at least: fewer are likely chance.
@@ -41,10 +40,12 @@ def features(s) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(4):
         end -= _PUNCTUATION[s.data[end - 1]] & (end - start > 1)
         start += _PUNCTUATION[s.data[np.minimum(start, len(s.data) - 1)]] & (end - start > 1)
-    h = s.span_hash(start, end, lower=True) >> np.uint64(64 - BITS)
-    pair = np.unique((s.doc_of_word().astype(np.uint64) << np.uint64(BITS)) | h)
-    doc = (pair >> np.uint64(BITS)).astype(np.int64)
-    return (pair & np.uint64((1 << BITS) - 1)).astype(np.int64), np.searchsorted(doc, np.arange(s.n + 1))
+    h, doc = s.span_hash(start, end, lower=True), s.doc_of_word()
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(s.n + 1))
 
 
 def _training_rows(batches):
@@ -52,7 +53,7 @@ def _training_rows(batches):
     for batch in batches:
         for s in slices(batch.column(1)):
             x, ptr = features(s)
-            lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(x.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(signed(x)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.rows[0], s.n) for c in (0, 2)), lists], names=["id", "labels", "x"])
 
 
@@ -66,7 +67,7 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """weight by hashed word, bias, and a weight for each category before."""
+    """weight by feature, bias, and a weight for each category before."""
 
     def __init__(self, weight: np.ndarray, bias: float, before: np.ndarray):
         self.weight, self.bias, self.before = weight, bias, before
@@ -77,22 +78,22 @@ class Linear:
         return _sigmoid(sums[ptr[1:]] - sums[ptr[:-1]] + self.bias + odds @ self.before)
 
 
-def fit_linear(x: np.ndarray, ptr: np.ndarray, odds: np.ndarray, y: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> Linear:
+def fit_linear(x: np.ndarray, ptr: np.ndarray, odds: np.ndarray, y: np.ndarray, size: int, steps: int = 120, ridge: float = 1e-3) -> Linear:
     n, k = len(y), odds.shape[1]
-    zero = np.zeros(1 << BITS)
+    zero = np.zeros(size)
     if not 0 < y.sum() < n:
         share = y.mean() if n else 0.0
         return Linear(zero, float(_log_odds(np.array(share))) if 0 < share < 1 else (30.0 if share else -30.0), np.zeros(k))
     doc = np.repeat(np.arange(n), np.diff(ptr))
-    here = np.bincount(x, weights=y[doc], minlength=1 << BITS)
-    seen = np.bincount(x, minlength=1 << BITS)
+    here = np.bincount(x, weights=y[doc], minlength=size)
+    seen = np.bincount(x, minlength=size)
     p, q = (here + 0.5) / (y.sum() + 1), (seen - here + 0.5) / (n - y.sum() + 1)
     mean = np.clip(seen / n, 1e-9, 1 - 1e-9)
     spread = np.sqrt(mean * (1 - mean) * (1 / y.sum() + 1 / (n - y.sum())))
     apart = np.where(seen >= 3, np.abs(p - q) / spread, 0)
     chosen = np.sort(np.argsort(-apart, kind="stable")[:FEATURES])
     chosen = chosen[apart[chosen] >= DEVIATIONS]
-    column = np.full(1 << BITS, -1)
+    column = np.full(size, -1)
     column[chosen] = np.arange(len(chosen))
     keep = column[x] >= 0
     rows, cols = doc[keep], column[x[keep]]
@@ -119,20 +120,29 @@ def _rows_of(x: np.ndarray, ptr: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
 
 
 class Chain:
-    """One linear model for each category, and the last one's threshold."""
+    """One linear model for each category over the words that any of them weighs, and the last one's threshold."""
 
-    def __init__(self, models: list[Linear], threshold: float):
-        self.models, self.threshold = models, threshold
+    def __init__(self, models: list[Linear], vocabulary: np.ndarray, threshold: float):
+        kept = np.zeros(len(vocabulary), bool)
+        for m in models:
+            kept |= m.weight != 0
+        self.words, self.threshold = vocabulary[kept], threshold
+        self.models = [Linear(m.weight[kept], m.bias, m.before) for m in models]
 
     def predict(self, x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.words, x)
+        known = np.append(self.words, np.uint64(0))[at] == x if len(self.words) else np.zeros(len(x), bool)
+        known &= at < len(self.words)
+        x, ptr = at[known], np.r_[0, np.cumsum(known)][ptr]
         out = np.zeros((len(ptr) - 1, 0))
         for m in self.models:
             out = np.column_stack([out, m.predict(x, ptr, _log_odds(out))])
         return out
 
 
-def fit_chain(x: np.ndarray, ptr: np.ndarray, labels: np.ndarray, folds: int = 3) -> Chain:
-    n = len(ptr) - 1
+def fit_chain(words: np.ndarray, ptr: np.ndarray, labels: np.ndarray, folds: int = 3) -> Chain:
+    vocabulary, x = np.unique(words, return_inverse=True)
+    n, size = len(ptr) - 1, len(vocabulary)
     fold = np.arange(n) % folds
     odds, models = np.zeros((n, 0)), []
     last = np.zeros(n)
@@ -141,11 +151,11 @@ def fit_chain(x: np.ndarray, ptr: np.ndarray, labels: np.ndarray, folds: int = 3
         last = np.zeros(n)
         for f in range(folds):
             inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            m = fit_linear(*_rows_of(x, ptr, inside), odds[inside], y[inside])
+            m = fit_linear(*_rows_of(x, ptr, inside), odds[inside], y[inside], size)
             last[outside] = m.predict(*_rows_of(x, ptr, outside), odds[outside])
-        models.append(fit_linear(x, ptr, odds, y))
+        models.append(fit_linear(x, ptr, odds, y, size))
         odds = np.column_stack([odds, _log_odds(last)])
-    return Chain(models, _threshold(last, labels[:, -1] > 0) if n else 0.5)
+    return Chain(models, vocabulary, _threshold(last, labels[:, -1] > 0) if n else 0.5)
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -189,9 +199,9 @@ def classify(
     merged = merged.select("id", F.array(*(f"l{i}" for i in range(len(categories)))).alias("labels"))
     texts = pick(docs, id=id_col, text=text_col)
     train = texts.join(F.broadcast(merged), "id").select("id", "text", "labels")  # sample rows at most
-    rows = train.mapInArrow(_training_rows, "id long, labels array<int>, x array<int>").toArrow().sort_by("id")
+    rows = train.mapInArrow(_training_rows, "id long, labels array<int>, x array<long>").toArrow().sort_by("id")
     lists = rows["x"].combine_chunks()
-    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    x = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     ptr = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
     y = np.array(rows["labels"].to_pylist(), np.int64).reshape(-1, len(categories))
     chain = fit_chain(x, ptr, y)

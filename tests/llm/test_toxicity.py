@@ -44,5 +44,5 @@ def test_edges(spark):
 
 
 def test_linear_without_two_classes():
-    m = fit_linear(np.array([1, 2]), np.array([0, 1, 2]), np.zeros((2, 0)), np.ones(2))
+    m = fit_linear(np.array([1, 2]), np.array([0, 1, 2]), np.zeros((2, 0)), np.ones(2), 3)
     assert m.predict(np.array([1]), np.array([0, 1]), np.zeros((1, 0)))[0] > 0.99
