@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .storage import pick
-from .words import Slice, buffers, slices
+from .words import buffers, slices
 
 #: Distinct chunks in a task's table before it starts anew.
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 500_000
 MARKER = "▁"
 
 
@@ -58,18 +59,21 @@ class ChunkTable:
         found = [self.at.get(k, -1) for k in keys]
         new = [i for i, p in enumerate(found) if p < 0]
         if new:
-            chunks = [chunk(int(first[i])) for i in new]
+            chunks = [chunk(i) for i in first[new].tolist()]
             base = len(self.chunks)
+            coded = self.encode(chunks)
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            total = int(sizes.sum())
             self._fit("start", base + len(new))
             self._fit("length", base + len(new))
-            for i, c, ids in zip(new, chunks, self.encode(chunks), strict=True):
-                place = len(self.chunks)
+            self._fit("ids", self.used + total)
+            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(coded), np.int32, total)
+            self.start[base : base + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.length[base : base + len(new)] = sizes
+            self.used += total
+            self.chunks += chunks
+            for place, i in enumerate(new, base):
                 self.at[keys[i]] = found[i] = place
-                self.chunks.append(c)
-                self._fit("ids", self.used + len(ids))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.start[place], self.length[place] = self.used, len(ids)
-                self.used += len(ids)
         return np.array(found, np.int64)[inverse]
 
     def text_of(self, place: int) -> np.ndarray:
@@ -223,8 +227,3 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(_codec(_usable(model)), schema)
 
-
-def word_places(table: ChunkTable, s: Slice) -> np.ndarray:
-    """Table places of the words of a slice."""
-    raw = s.data.tobytes()
-    return table.places(s.word_hash(), lambda i: raw[s.start[i] : s.end[i]])
