@@ -7,7 +7,8 @@ smaller id, or earlier in the same one.
 1. Of the k-mers (k just over half a window) of each window the one with the
    smallest hash is its *anchor*. Equal windows have equal anchors, so only
    anchors, about one position in six, are counted across documents.
-2. Anchors seen twice or more are the graph's nodes. Two that follow each other in
+2. Anchors of two documents or more, each at its first place in a document, are the
+   graph's nodes. Two that follow each other in
    a document at most k words apart are an edge; their words leave no gap, so the
    edge fixes the words between them. A node whose occurrences all have one
    successor (predecessor) does not branch. Joining occurrences with their nodes
@@ -15,7 +16,8 @@ smaller id, or earlier in the same one.
 3. An occurrence of a path other than its first is a repeat as a whole. Source
    coordinates decide which one is first.
 4. Windows at the ends of paths, across branches and on first occurrences are
-   grouped by a 128-bit hash of their words and settled one by one.
+   grouped by a 128-bit hash of their words and settled one by one; those that
+   stood earlier in the same document are found there, without a shuffle.
 
 Groups are only ever counted or reduced to a minimum before a shuffle, and joins
 against them can be split where one key is frequent.
@@ -78,14 +80,15 @@ def _anchors(window: int, k: int):
                 anchor = anchor[np.r_[True, anchor[1:] != anchor[:-1]]]
                 doc = np.searchsorted(s.ptr, anchor, side="right") - 1
                 h = grams[anchor]
+                new = ~_again(doc, h)  # a document counts once
+                h, doc, anchor = h[new], doc[new], anchor[new]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(h)),
                         pa.array(ids[s.rows[0] + doc]),
                         pa.array((anchor - s.ptr[doc]).astype(np.int32)),
-                        pa.array(_again(doc, h)),
                     ],
-                    names=["h", "id", "pos", "again"],
+                    names=["h", "id", "pos"],
                 )
 
     return run
@@ -112,7 +115,7 @@ def _open_windows(window: int, k: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for s in slices(batch.column(1)):
                 words = s.word_hash()
-                start, anchor, _, sums = _windows(s, words, window, k)
+                start, anchor, grams, sums = _windows(s, words, window, k)
                 if not len(start):
                     continue
                 n = len(words)
@@ -123,6 +126,8 @@ def _open_windows(window: int, k: int):
                 limit = np.repeat(s.ptr[1:], counts)
                 low, high, repeat = np.minimum(base + low, limit), np.minimum(base + high, limit), repeat.astype(bool)
                 known = _marked(n, low, np.minimum(high + 1, limit))
+                own = anchor[np.r_[True, anchor[1:] != anchor[:-1]]]
+                known[own[_again(np.searchsorted(s.ptr, own, side="right") - 1, grams[own])]] = True
                 whole = repeat & (high + k - low >= window)
                 done = _marked(n, low[whole], np.minimum(high[whole] + k, limit[whole]) - window + 1)
                 keep = known[anchor] & ~done[start]
@@ -131,6 +136,8 @@ def _open_windows(window: int, k: int):
                     continue
                 doc = np.searchsorted(s.ptr, start, side="right") - 1
                 h = s.run_hash(sums, start, start + window)
+                new = ~_again(doc, h)  # _cut settles those that stood in the same document
+                start, doc, h = start[new], doc[new], h[new]
                 other = s.word_sums(mix(words + np.uint64(0xA5A5A5A5)))
                 check = s.run_hash(other, start, start + window)
                 yield pa.RecordBatch.from_arrays(
@@ -139,16 +146,15 @@ def _open_windows(window: int, k: int):
                         pa.array(signed(check)),
                         pa.array(ids[s.rows[0] + doc]),
                         pa.array((start - s.ptr[doc]).astype(np.int32)),
-                        pa.array(_again(doc, h)),
                     ],
-                    names=["h", "check", "id", "pos", "again"],
+                    names=["h", "check", "id", "pos"],
                 )
 
     return run
 
 
 def _cut(window: int, k: int):
-    """Columns: id, text, low, high, repeat (paths), pos (windows)."""
+    """Columns: id, text, low, high, repeat (paths), pos (windows). Finds repeats within a document itself."""
 
     def run(batches):
         for batch in batches:
@@ -165,6 +171,8 @@ def _cut(window: int, k: int):
                 pos, places = _lists(batch.column(5), *s.rows)
                 first = np.repeat(s.ptr[:-1], places) + pos
                 first = first[first + window <= np.repeat(limit, places)]
+                start, h = s.grams(s.word_sums(s.word_hash()), window)
+                first = np.r_[first, start[_again(np.searchsorted(s.ptr, start, side="right") - 1, h)]]
                 gone = _marked(n, np.r_[low[whole], first].astype(np.int64), np.r_[high[whole], first + window].astype(np.int64))
                 raw = s.data.tobytes()
                 removed = per_doc(gone, s.ptr)
@@ -202,7 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = source.select("id", "text")
 
     # 1. anchors that occur twice or more
-    anchors = texts.mapInArrow(_anchors(window, k), "h long, id long, pos int, again boolean")
+    anchors = texts.mapInArrow(_anchors(window, k), "h long, id long, pos int")
     nodes = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     seen = written(anchors.join(nodes, "h"), "anchors")
 
@@ -212,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before = F.col("pos") - F.lag("pos").over(in_doc)
     edges = (
         seen.groupBy("id", "pos")
-        .agg(F.min("h").alias("h"), F.min("again").alias("again"))
+        .agg(F.min("h").alias("h"))
         .withColumn("next", F.when(gap <= k, F.xxhash64(F.lead("h").over(in_doc), gap)).otherwise(F.lit(0)))
         .withColumn("prev", F.when(before <= k, F.xxhash64(F.lag("h").over(in_doc), before)).otherwise(F.lit(0)))
     )
@@ -224,7 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         (F.min("prev") == F.max("prev")).alias("one_prev"),
     )
     steps = edges.join(branch, "h").select(
-        "id", "pos", "one_next", "one_prev", "next", (F.col("again") | (F.col("id") != F.col("first_id"))).alias("repeat")
+        "id", "pos", "one_next", "one_prev", "next", (F.col("id") != F.col("first_id")).alias("repeat")
     )
     joined = (
         F.lag("one_next").over(in_doc)
@@ -245,13 +253,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(edges)
 
     # 3. single windows
-    schema = "h long, check long, id long, pos int, again boolean"
+    schema = "h long, check long, id long, pos int"
     windows = texts.join(paths, "id").select("id", "text", "low", "high", "repeat").mapInArrow(_open_windows(window, k), schema)
     windows = written(windows, "windows")
     first = windows.groupBy("h", "check").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
     repeats = (
         windows.join(first, ["h", "check"])
-        .where("again or id != first_id")
+        .where("id != first_id")
         .groupBy("id")
         .agg(F.collect_set("pos").alias("pos"))
     )
