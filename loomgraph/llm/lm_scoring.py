@@ -32,7 +32,7 @@ from .piece_codec import MARKER, processor
 from .storage import discard, pick, written
 from .words import ASCII_LOWER, mix, signed, slices
 
-FLUSH_WORDS = 200_000
+FLUSH_WORDS = 100_000
 SMOOTHING = 0.1
 _NO_PROB = -math.inf
 
@@ -243,6 +243,7 @@ def lattice_scores(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
         (F.col("times") * F.col("w_log")).alias("log"),
     )
     sums = own.union(more).groupBy("id", "copy").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "log")))
+    sums = written(sums, "sums")
     times = rows.groupBy("id", "held_out", F.xxhash64("text").alias("copy")).agg(F.count("*").alias("rows"))
     end_base = math.log10((ends + SMOOTHING) / below)
     end_log = float(logs[sp.eos_id()]) / math.log(10)
