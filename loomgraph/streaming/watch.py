@@ -42,7 +42,9 @@ def debounce(changes: DataFrame, gap: str = GAP, keys: tuple[str, ...] = ()) ->
 
 def batches(stream: DataFrame, late: str = "10 seconds", gap: str = GAP) -> DataFrame:
     """:func:`debounce` of a stream; ``late`` is how long a batch waits for changes that arrive out of order."""
-    return debounce(stream.withWatermark("ts", late), gap)
+    # streaming session windows need a key beside the time; all changes of a stream have the same one
+    one = stream.withWatermark("ts", late).withColumn("watcher", F.length("path") % 1)
+    return debounce(one, gap, ("watcher",)).drop("watcher")
 
 
 def run_batches(stream: DataFrame, build, checkpoint: str, late: str = "10 seconds", gap: str = GAP):
