@@ -9,7 +9,7 @@ are the same wherever it stands, a task runs the network once for each distinct
 adds up by position: whole texts are judged at the cost of their vocabulary.
 
 Trained here, in numpy by backpropagation through time, on the distinct words of at most
-``docs`` labelled documents of each language (the bound does not grow with the corpus).
+``docs_per_language`` labelled documents of each language (the bound does not grow with the corpus).
 
 Nulls: a text that is null or has no letters is ``und`` with score 0; documents without a
 language are not learned from. With nothing to learn from every text is ``und``. Ids may
@@ -109,8 +109,8 @@ class BiGRU:
         """Each text's log probabilities, added up over its positions."""
         out = np.zeros((len(texts), len(self.labels)))
         order = np.argsort([len(t) for t in texts], kind="stable")
-        for first in range(0, len(order), 4096):
-            at = order[first : first + 4096]
+        for first in range(0, len(order), 1024):
+            at = order[first : first + 1024]
             if len(texts[at[-1]]):
                 logs, live = self.positions([texts[i] for i in at])
                 out[at] = (logs * live[:, :, None]).sum(axis=0)
