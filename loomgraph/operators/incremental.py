@@ -149,3 +149,19 @@ def memo_validity(old: DataFrame, new: DataFrame) -> DataFrame:
     j = b.join(a, "module", "left")
     graph = F.col("a.graph").eqNullSafe(F.col("b.graph")) & F.col("a.graph").isNotNull()
     return j.select("module", graph.alias("graph_ok"), (graph & F.col("a.ids").eqNullSafe(F.col("b.ids"))).alias("codegen_ok"))
+
+
+def guard_failures(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """(name) of the guards(name, value) that differ from those a cache was made under, or are on one side only; none: it may be used."""
+    s, n = stored.alias("s"), now.alias("n")
+    return s.join(n, "name", "full").where("NOT s.value <=> n.value OR s.value IS NULL").select("name")
+
+
+#: Milliseconds from a build to the writing of its cache.
+FLUSH_MS = {"initial": 5000, "ordinary": 60000, "large": 1000}
+
+
+def flush_times(builds: DataFrame) -> DataFrame:
+    """(cache, flush_ms): when each cache is due, by the earliest of its builds(cache, kind, end_ms)."""
+    delay = F.create_map(*[F.lit(x) for kv in FLUSH_MS.items() for x in kv])
+    return builds.groupBy("cache").agg(F.min(F.col("end_ms") + delay[F.col("kind")]).alias("flush_ms"))

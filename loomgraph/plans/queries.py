@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import chunks, exports, incremental, lookups, naming, reachability
+from ..operators import chunks, exports, incremental, lookups, naming, reachability, render
 from ..sources import files
 from ..streaming import watch
 from .views import duckdb_sql, view
@@ -515,3 +515,48 @@ def concat_sets(spark, d):
 def directory_digests(spark, d):
     e = view(spark, d, "file_events").select("path", F.col("event_id").alias("seq"), F.col("value").cast("string").alias("hash"))
     return incremental.directory_digests(incremental.merge_snapshots(e))
+
+
+@query("SELECT p_partkey AS module, replace(p_name, ' ', '::') AS text FROM part")
+def source_replacements(spark, d):
+    """Each space of a name, as one byte range."""
+    parts = _parts(spark, d, F.col("p_name").alias("source"))
+    at = F.expr("filter(sequence(1, octet_length(source)), i -> substring(encode(source, 'utf-8'), i, 1) = X'20')")
+    spaces = parts.where("source != ''").select("module", F.posexplode(at).alias("seq", "i"))
+    spaces = spaces.select("module", (F.col("i") - 1).cast("long").alias("start"), F.col("i").cast("long").alias("end"), "seq", F.lit("::").alias("text"))
+    return render.apply_replacements(parts, spaces)
+
+
+_JSON_CODE = """concat('var __WEBPACK_JSON_MODULE__ = JSON.parse("{\\"name\\":\\"', p_name, '\\",\\"size\\":', p_size,
+  '}");', chr(10), '__webpack_require__.d(__webpack_exports__, { default: () => (__WEBPACK_JSON_MODULE__), ["name"]: () => (__WEBPACK_JSON_MODULE__["name"]), ["size"]: () => (__WEBPACK_JSON_MODULE__["size"]) });')"""
+
+
+@query(f"SELECT p_partkey AS module, {_JSON_CODE} AS code FROM part")
+def json_module_code(spark, d):
+    source = F.format_string('{"size": %d, "name": "%s"}', "p_size", "p_name")
+    return _parts(spark, d, render.json_code(source).alias("code"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS chunk, CAST(l_partkey AS VARCHAR) AS id FROM lineitem)
+SELECT concat(chunk, '.js') AS filename, concat('"use strict";', chr(10), 'exports.id = "', chunk, '";', chr(10), 'exports.ids = ["', chunk, '"];', chr(10),
+  'exports.modules = ({', chr(10), string_agg(concat('"', id, '": ((__unused_webpack_module, __webpack_exports__, __webpack_require__) => {', chr(10),
+  '"use strict";', chr(10), 'run(', id, ')', chr(10), '})'), concat(',', chr(10)) ORDER BY id), chr(10), '});', chr(10)) AS content FROM m GROUP BY chunk""")
+def chunk_assets(spark, d):
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("chunk"), F.col("l_partkey").cast("string").alias("id")).distinct()
+    return render.chunk_assets(m.withColumn("code", F.concat(F.lit("run("), "id", F.lit(")"))))
+
+
+@query("SELECT concat(substr(sha256(text), 1, 20), '.txt') AS filename, CAST(max(strlen(text)) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1")
+def resource_asset_sizes(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    resources = docs.select(F.col("doc_id").alias("module"), hashing.content_name(F.col("text"), F.lit(".txt")).alias("filename"), F.col("text").alias("content"))
+    return render.asset_sizes(render.resource_assets(resources, docs.where("lang IS NOT NULL").select(F.col("doc_id").alias("module"))))
+
+
+@query("""
+SELECT user_id AS cache, min(epoch_us(ts) // 1000 + CASE event_type WHEN 'signup' THEN 5000 WHEN 'error' THEN 1000 ELSE 60000 END) AS flush_ms FROM events GROUP BY user_id""")
+def flush_schedule(spark, d):
+    kind = F.when(F.col("event_type") == "signup", "initial").when(F.col("event_type") == "error", "large").otherwise("ordinary")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return incremental.flush_times(table(spark, d, "events").select(F.col("user_id").alias("cache"), kind.alias("kind"), ms.alias("end_ms")))
