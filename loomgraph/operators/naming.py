@@ -7,6 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv64
 
+#: Ranges that rows are numbered in, and keys that their bounds are chosen from.
+RANGES, SAMPLED = 256, 16_384
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a column more: their place, from 0, in ascending order of keys, nulls first. Keys of structs, maps or null type aren't taken.
+
+    A few bounds cut the order into ranges, which are sorted apart and begin where the counts
+    of those before end. The bounds come from the keys of the smallest hashes, so they are the
+    same however often rows are computed; rows with equal keys are in one range.
+    """
+    key = F.struct(*keys)
+    types = [rows.schema[k].dataType for k in keys]
+    sample = rows.select(*keys).distinct().orderBy(F.xxhash64(*keys), *keys).limit(SAMPLED)
+    found = sample.orderBy(*keys).collect()
+    bounds = [found[len(found) * i // RANGES] for i in range(1, RANGES)] if len(found) >= RANGES else found[1:]
+    at = [F.struct(*(F.lit(v).cast(t).alias(k) for v, t, k in zip(b, types, keys, strict=True))) for b in bounds]
+    within = F.size(F.filter(F.array(*at), lambda b: b <= key)) if at else F.lit(0)
+    ranged = rows.withColumn("_range", within)
+    # 256 rows at most
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    begins = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
+    out = ranged.withColumn("_place", place).join(F.broadcast(begins), "_range")
+    return out.select(*rows.columns, (F.col("_begin") + F.col("_place")).cast("long").alias(name))
+
 
 def named_ids(items: DataFrame, reserved: list[str] | None = None) -> DataFrame:
     """(item, id, number) of items(item, short, full): a string id, or a number for those without a name.
@@ -16,9 +42,11 @@ def named_ids(items: DataFrame, reserved: list[str] | None = None) -> DataFrame:
     a counter behind that. Unnamed items are numbered by full name.
     """
     taken = reserved or []
-    alone = (F.count("*").over(Window.partitionBy("short")) == 1) & ~F.col("short").isin(*taken)
+    alone = F.col("single").isNotNull() & ~F.col("short").isin(*taken)
     base = F.concat("short", F.lit("-"), fnv64("full").substr(11, 6))
-    named = items.where("short != ''").withColumn("base", F.when(alone, F.col("short")).otherwise(base))
+    # counted before they are joined: one short name may have many of all items
+    once = items.where("short != ''").groupBy("short").agg(F.count("*").alias("n")).where("n = 1").select(F.col("short").alias("single"))
+    named = items.where("short != ''").join(once, F.col("short") == F.col("single"), "left").withColumn("base", F.when(alone, F.col("short")).otherwise(base))
     # a short name may look like another's base: the counter settles all that share one
     order = Window.partitionBy("base").orderBy(F.col("base") != F.col("short"), "short", "full", "item")
     again = F.row_number().over(order) - 1
@@ -28,7 +56,7 @@ def named_ids(items: DataFrame, reserved: list[str] | None = None) -> DataFrame:
         "item", F.when(F.col("suffix") < 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("suffix").cast("string"))).alias("id")
     )
     numbers = [int(x) for x in taken if x.isdigit()]
-    unnamed = items.where("short = ''").withColumn("number", (F.row_number().over(Window.orderBy("full", "item")) - 1).cast("long"))
+    unnamed = numbered(items.where("short = ''").select("item", "full"), ["full", "item"], "number")
     for n in sorted(numbers):
         unnamed = unnamed.withColumn("number", F.when(F.col("number") >= n, F.col("number") + 1).otherwise(F.col("number")))
     none = F.lit(None)

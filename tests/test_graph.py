@@ -134,6 +134,18 @@ def test_named_ids_do_not_depend_on_order(spark):
     assert (ids[0][5], ids[0][4]) == (1, 2) and ids[0][6].startswith("kept-")
 
 
+@pytest.mark.parametrize("n", [0, 1, 200, 3000])
+def test_numbered_in_ranges(spark, n):
+    r = random.Random(n)
+    rows = [(r.choice([None, "", "hot", "hot", f"é{r.randrange(900)}"]), r.choice([None, r.randrange(2000)]), r.random()) for _ in range(n)]
+    df = spark.createDataFrame(rows, "full string, item long, other double").repartition(5)
+    got = sorted(naming.numbered(df, ["full", "item"], "number").collect(), key=lambda x: x.number)
+    assert [x.number for x in got] == list(range(n))
+    first = lambda x: (x[0] is not None, (x[0] or "").encode(), x[1] is not None, x[1] or 0)
+    assert [tuple(x)[:2] for x in got] == [tuple(x)[:2] for x in sorted(rows, key=first)]
+    assert sorted(x.other for x in got) == sorted(x[2] for x in rows)
+
+
 def test_readable_name(spark):
     row = [(1, "/r/src/value.js", "?one", "#alpha", "client", ["/r/loaders/first.js"])]
     df = spark.createDataFrame(row, "module int, resource string, query string, fragment string, layer string, loaders array<string>")
