@@ -327,20 +327,7 @@ def readable_names(spark, d):
 def identity_order(spark, d):
     # the place of each identity, counted by ranges: no task sees all rows
     p = view(spark, d, "page_paths").select("page_id", F.split("path", "/").alias("parts"))
-    return _ranked(p, ["parts", "page_id"]).select("page_id", "place")
-
-
-def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with place: its number in the order of keys. Ranges are sorted apart, and start where those before end."""
-    from pyspark.sql import Window
-
-    from .fixpoint import settle
-
-    ranged = settle(df.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n")).select("range", "before")
-    here = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
-    return ranged.withColumn("here", here).join(starts, "range").withColumn("place", F.col("before") + F.col("here"))
+    return naming.numbered(p, ["parts", "page_id"], "before").select("page_id", (F.col("before") + 1).alias("place"))
 
 
 RULES = [("/en/", "text/en"), ("[.]html$", "page"), ("/[0-9]{4,}$", "numbered")]
