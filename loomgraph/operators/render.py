@@ -85,6 +85,19 @@ def chunk_assets(modules: DataFrame) -> DataFrame:
     return module_tables(modules).select(F.concat("chunk", F.lit(".js")).alias("filename"), F.concat(head, F.col("table"), F.lit(CHUNK_TAIL)).alias("content"))
 
 
+def filename_map(chunks: DataFrame) -> DataFrame:
+    """(app, entries): the id and file of all chunks(app, id, number, filename) of an app, as the inside of an object.
+
+    String ids come first, then numbers, each in their order; of rows with one id the last
+    file name counts. An app's map is one text, so its chunks are gathered.
+    """
+    one = chunks.groupBy("app", "id", "number").agg(F.max("filename").alias("filename"))
+    key = F.when(F.col("id").isNull(), F.col("number").cast("string")).otherwise(json_quote(F.col("id")))
+    shown = F.concat(key, F.lit(": "), json_quote(F.col("filename")))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("numbered"), F.coalesce("id", F.lit("")).alias("id"), "number", shown.alias("shown"))))
+    return one.groupBy("app").agg(F.array_join(rows["shown"], ", ").alias("entries"))
+
+
 def resource_assets(resources: DataFrame, members: DataFrame) -> DataFrame:
     """(filename, content): of resources(module, filename, content) in any chunk, the first module's of each name."""
     placed = resources.join(members.select("module"), "module", "left_semi")

@@ -534,6 +534,20 @@ def chunk_assets(spark, d):
     return render.chunk_assets(m.withColumn("code", F.concat(F.lit("run("), "id", F.lit(")"))))
 
 
+@query("""
+WITH c AS (SELECT o_custkey AS app, CASE WHEN o_totalprice > 150000 THEN concat(o_orderstatus, '"', o_orderkey) END AS id, o_orderkey AS number,
+  concat('chunk-', o_orderkey, '.js') AS filename FROM orders)
+SELECT app, string_agg(concat(CASE WHEN id IS NULL THEN CAST(number AS VARCHAR) ELSE CAST(to_json(id) AS VARCHAR) END, ': "', filename, '"'), ', '
+  ORDER BY id IS NULL, id, number) AS entries FROM c GROUP BY app""")
+def filename_map(spark, d):
+    named = F.col("o_totalprice") > 150000
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("app"), F.when(named, F.concat("o_orderstatus", F.lit('"'), "o_orderkey")).alias("id"),
+        F.when(~named, F.col("o_orderkey")).alias("number"), F.concat(F.lit("chunk-"), "o_orderkey", F.lit(".js")).alias("filename"),
+    )
+    return render.filename_map(o)
+
+
 @query("SELECT concat(substr(sha256(text), 1, 20), '.txt') AS filename, CAST(max(strlen(text)) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1")
 def resource_asset_sizes(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")

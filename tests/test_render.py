@@ -72,6 +72,14 @@ def test_store_publishes_whole_revisions(spark, tmp_path):
     assert store.read(spark, root).count() == 5 and store.revision(spark, root) == 2
 
 
+def test_filename_map(spark):
+    rows = [("a", None, 10, "ten.js"), ("a", None, 9, "nine.js"), ("a", "z", None, "z.js"), ("a", 'b"', None, "b.js"), ("a", "z", None, "zz.js"), ("c", None, 0, 'q".js')]
+    df = spark.createDataFrame(rows, "app string, id string, number long, filename string")
+    got = {r.app: r.entries for r in render.filename_map(df).collect()}
+    assert got == {"a": '"b\\"": "b.js", "z": "zz.js", 9: "nine.js", 10: "ten.js"', "c": '0: "q\\".js"'}
+    assert render.filename_map(df.limit(0)).collect() == []
+
+
 def test_plugins_run_in_order(spark):
     seen = []
 
