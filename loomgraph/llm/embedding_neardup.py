@@ -2,18 +2,25 @@
 
 Each half of the (normalised) vectors has a codebook of its own; the product of both is
 a grid of cells (Babenko, Lempitsky 2012), about ``per_cell`` vectors of the largest
-label to a cell. Every vector is filed in its nearest cell, and asks the cells around it
-in the order of the multi-sequence traversal, nearest first, until the target recall.
-How far that is comes from a bounded sample: each of its vectors is turned by exactly
-the limit's angle in random directions, the hardest neighbours there are, and the
-traversal goes on to the cost that reaches ``recall`` of them. Nearer ones are found
-more often still. All pairs that meet are verified in double precision.
+label to a cell. Neighbouring cells lie on one shelf, about ``block`` vectors of the largest
+label to a shelf. Every vector is filed on the shelf of its nearest cell, and asks the others
+in the order of the multi-sequence traversal, nearest first. A cell's cost is a bound: no
+vector in it is nearer than that, by its distance from the planes between the cell's centers
+and the asker's own. So the traversal is over, with every neighbour found, where the cost exceeds
+the distance at the limit. Of two shelves the lower one's vectors ask, and a link counts
+for both ends. All pairs that meet are verified in double precision.
+
+With a ``recall`` below 1 the traversal stops at the cost that reaches as many of a sample's
+vectors turned by the limit's angle in random directions: an estimate, and too low
+where vectors fill few dimensions of their space.
 
 Codebooks are fitted on at most ``sample`` vectors; every vector is indexed and every
 vector asks. Vectors of one label that are equal bit for bit share an index entry with
-their count. Cells are cut into blocks of ``block`` vectors; a block is compared with
-those that ask for it as a product of matrices, and returns a count for each asker and
-one link for each group it joins, never all pairs.
+their count. Shelves are cut into blocks of ``block`` vectors; a block is compared with
+those that ask for it as a product of matrices, at most about ``ASKERS`` blocks of them in a
+task's group, and returns a count for each vector and one link for each group it joins, never
+all pairs. Where the bound excludes little (vectors that fill many dimensions evenly), the
+work grows with the square of a label's vectors.
 
 Nulls: vectors that are null, zero, of another length than most, or hold null or
 non-finite parts, and those with a null label, link with nothing. A null id is returned
@@ -27,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,6 +43,10 @@ from .storage import discard, pick, written
 TRAIN_SEED = 4
 #: Of a half; the grid has the square of it.
 MOST_CENTERS = 256
+#: Blocks of askers that one block is compared with at a time.
+ASKERS = 16
+#: Of squared distances and distances of centers: what rounding may change.
+SLACK, LEAST_GAP = 1e-6, 1e-6
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -83,78 +94,102 @@ def traversal(one: np.ndarray, two: np.ndarray):
 
 
 class Grid:
-    """Codebooks of both halves, and how far the traversal goes."""
+    """Codebooks of both halves, their centers by shelves, and how far the traversal goes."""
 
-    def __init__(self, sample: np.ndarray, size: int):
+    def __init__(self, sample: np.ndarray, size: int, shelves: int):
         self.half = sample.shape[1] // 2
         self.books = [codebook(sample[:, : self.half], size), codebook(sample[:, self.half :], size)]
+        self.gaps = [_distances(b, b) for b in self.books]
+        self.groups = []
+        for book in self.books:
+            at = _distances(book, codebook(book, min(shelves, len(book)))).argmin(1)
+            self.groups.append(np.unique(at, return_inverse=True)[1])
+        self.wide = int(self.groups[1].max()) + 1
         self.stop = np.inf
 
-    def costs(self, x: np.ndarray) -> list[np.ndarray]:
-        """Of each half: squared distances to all centers, less that to the nearest."""
-        both = (_distances(x[:, : self.half], self.books[0]) ** 2, _distances(x[:, self.half :], self.books[1]) ** 2)
-        return [c - c.min(axis=1, keepdims=True) for c in both]
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of each row: its own shelf, and of each half by group of centers: what the squared distance to any vector there is at least."""
+        own, out = [], []
+        for half, book, gap, group in zip((x[:, : self.half], x[:, self.half :]), self.books, self.gaps, self.groups, strict=True):
+            square = _distances(half, book) ** 2
+            home = square.argmin(1)
+            gap = gap[home]
+            # from the plane midway between a center and the nearest one
+            far = np.where(gap > LEAST_GAP, (square - square.min(axis=1, keepdims=True)) / (2 * np.maximum(gap, LEAST_GAP)), 0)
+            least = np.full((len(x), int(group.max()) + 1), np.inf)
+            for center, g in enumerate(group):
+                least[:, g] = np.minimum(least[:, g], far[:, center] ** 2)
+            own.append(group[home])
+            out.append(least)
+        return own[0] * self.wide + own[1], out
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.costs(x)
-        return a.argmin(1) * len(self.books[1]) + b.argmin(1)
+        return self.bounds(x)[0]
 
     def visits(self, x: np.ndarray):
-        """Of each row, the cells that it asks, nearest first."""
-        costs = self.costs(x)
+        """Of each row, the shelves from its own on that it asks, nearest first."""
+        own, costs = self.bounds(x)
         order = [np.argsort(c, axis=1, kind="stable") for c in costs]
         sorted_costs = [np.take_along_axis(c, o, 1) for c, o in zip(costs, order, strict=True)]
         for r in range(len(x)):
-            cells = []
+            shelves = []
             for cost, i, j in traversal(sorted_costs[0][r], sorted_costs[1][r]):
                 if cost > self.stop:
                     break
-                cells.append(int(order[0][r, i]) * len(self.books[1]) + int(order[1][r, j]))
-            yield cells
+                shelf = int(order[0][r, i]) * self.wide + int(order[1][r, j])
+                if shelf >= own[r]:
+                    shelves.append(shelf)
+            yield shelves
 
     def settle(self, sample: np.ndarray, limit: float, recall: float, turns: int = 4) -> None:
-        """Stop at the cost that reaches ``recall`` of the neighbours right at the limit."""
+        """Stop where no neighbour can be; with a recall below 1, at the cost that reaches so many of the sample's turned vectors."""
+        self.stop = 2 - 2 * limit + SLACK
+        if recall >= 1:
+            return
         r = np.random.Generator(np.random.PCG64(TRAIN_SEED))
-        a, b = self.costs(sample)
+        _, (a, b) = self.bounds(sample)
         rows, found = np.arange(len(sample)), []
         for _ in range(turns):
             aside = r.normal(size=sample.shape)
             aside -= (aside * sample).sum(1, keepdims=True) * sample
-            near = limit * sample + np.sqrt(1 - limit * limit) * _unit(aside)
-            home = self.home(near)
-            found.append(a[rows, home // len(self.books[1])] + b[rows, home % len(self.books[1])])
-        self.stop = float(np.quantile(np.concatenate(found), recall, method="higher"))
+            home = self.home(limit * sample + np.sqrt(1 - limit * limit) * _unit(aside))
+            found.append(a[rows, home // self.wide] + b[rows, home % self.wide])
+        self.stop = min(self.stop, float(np.quantile(np.concatenate(found), recall, method="higher")))
 
 
 def _place(grid: Grid, width: int):
-    """Columns: label, rep, n, v. Adds each vector's own cell."""
+    """Columns: label, rep, n, v. Adds each vector's own shelf."""
 
     def run(batches):
         for batch in batches:
             if len(batch):
                 x = _unit(_matrix(batch.column("v"), width))
-                yield batch.append_column("cell", pa.array(grid.home(x).astype(np.int64)))
+                yield batch.append_column("shelf", pa.array(grid.home(x).astype(np.int64)))
 
     return run
 
 
 def _ask(grid: Grid, width: int):
-    """A row for each cell that a vector asks."""
+    """A row for each shelf that a vector asks; other: not its own."""
 
     def run(batches):
         for batch in batches:
             for first in range(0, len(batch), 1024):
                 part = batch.slice(first, 1024)
-                cells = list(grid.visits(_unit(_matrix(part.column("v"), width))))
-                at = pa.array(np.repeat(np.arange(len(part)), [len(c) for c in cells]))
-                flat = pa.array([c for x in cells for c in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("label", "rep", "v")), flat], names=["label", "rep", "v", "cell"])
+                shelves = list(grid.visits(_unit(_matrix(part.column("v"), width))))
+                at = np.repeat(np.arange(len(part)), [len(c) for c in shelves])
+                flat = np.array([c for x in shelves for c in x], np.int64)
+                other = pa.array(flat != part.column("shelf").to_numpy()[at])
+                columns = [part.column(c).take(pa.array(at)) for c in ("label", "rep", "n", "v")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(flat), other], names=["label", "rep", "n", "v", "shelf", "other"])
 
     return run
 
 
 def _compare(limit: float, width: int):
-    """One block of a cell and those that ask it: each asker's count of linked vectors, and links that join groups."""
+    """One block of a shelf and those that ask it: each vector's count of linked ones, and links that join groups.
+
+    Askers of the same shelf are filed there too, and ask in their turn: they count for themselves."""
 
     def run(filed: pa.Table, asking: pa.Table) -> pa.Table:
         rep, n, a, b = [], [], [], []
@@ -162,12 +197,15 @@ def _compare(limit: float, width: int):
             own, weight = filed["rep"].to_numpy(), filed["n"].to_numpy()
             y = _unit(_matrix(filed["v"], width))
             group = np.arange(len(own))
+            back = np.zeros(len(own), np.int64)
             askers = asking["rep"].to_numpy()
+            theirs = asking["n"].to_numpy() * asking["other"].to_numpy(zero_copy_only=False)
             x = _unit(_matrix(asking["v"], width))
             for first in range(0, len(askers), 512):
                 ids = askers[first : first + 512]
                 linked = (x[first : first + 512] @ y.T >= limit) & (own != ids[:, None])
                 counts = linked @ weight
+                back += theirs[first : first + 512] @ linked
                 for r in np.flatnonzero(counts):
                     rep.append(int(ids[r]))
                     n.append(int(counts[r]))
@@ -177,6 +215,9 @@ def _compare(limit: float, width: int):
                     b += members.tolist()
                     if len(groups) > 1:
                         group[np.isin(group, groups)] = groups[0]
+            some = np.flatnonzero(back)
+            rep += own[some].tolist()
+            n += back[some].tolist()
         none_n, none_l = [None] * len(rep), [None] * len(a)
         return pa.table(
             {
@@ -197,7 +238,7 @@ def vector_duplicates(
     label_col: str = "label",
     limit: float = 0.93,
     per_cell: int = 64,
-    recall: float = 0.9995,
+    recall: float = 1.0,
     sample: int = 4096,
     block: int = 2048,
 ) -> DataFrame:
@@ -221,23 +262,36 @@ def vector_duplicates(
     some = classes.orderBy(F.xxhash64("rep"), "rep", "label").limit(sample).select("v").toArrow()
     x = _unit(_matrix(some["v"], width))
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    grid = Grid(x, min(max(2, math.ceil(math.sqrt(largest / per_cell))), MOST_CENTERS))
+    centers = min(max(2, math.ceil(math.sqrt(largest / per_cell))), MOST_CENTERS)
+    grid = Grid(x, centers, math.ceil(math.sqrt(largest / block)))
     grid.settle(x, limit, recall)
 
     kind, parts = dict(classes.dtypes)["label"], dict(classes.dtypes)["v"]
-    cells = classes.mapInArrow(_place(grid, width), f"label {kind}, v {parts}, rep long, n long, cell long")
-    cells = written(cells, "cells")
-    sizes = cells.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    filed = cells.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    filed = filed.select("label", "cell", "block", "rep", "n", "v")
+    shelves = classes.mapInArrow(_place(grid, width), f"label {kind}, v {parts}, rep long, n long, shelf long")
+    shelves = written(shelves, "shelves")
+    sizes = shelves.groupBy("label", "shelf").agg(F.count("*").alias("size"))
+    all_of_label = F.sum("size").over(Window.partitionBy("label"))
+    sizes = sizes.select(
+        "label",
+        "shelf",
+        F.ceil(F.col("size") / block).cast("int").alias("blocks"),
+        F.ceil(all_of_label / (ASKERS * block)).cast("int").alias("parts"),
+    )
+    filed = (
+        shelves.join(sizes, ["label", "shelf"])
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("label", "shelf", "block", "part", "rep", "n", "v")
+    )
     asking = (
-        cells.select("label", "rep", "v")
-        .mapInArrow(_ask(grid, width), f"label {kind}, rep long, v {parts}, cell long")
-        .join(sizes, ["label", "cell"])
+        shelves.select("label", "rep", "n", "v", "shelf")
+        .mapInArrow(_ask(grid, width), f"label {kind}, rep long, n long, v {parts}, shelf long, other boolean")
+        .join(sizes, ["label", "shelf"])
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("label", "cell", "block", "rep", "v")
+        .withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
+        .select("label", "shelf", "block", "part", "rep", "n", "v", "other")
     )
-    keys = ["label", "cell", "block"]
+    keys = ["label", "shelf", "block", "part"]
     found = filed.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_compare(limit, width), "rep long, n long, a long, b long")
     found = written(found, "found")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("near"))
@@ -249,7 +303,7 @@ def vector_duplicates(
         .groupBy("id")
         .agg(F.max(F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     )
-    discard(cells)
+    discard(shelves)
     return (
         rows.select("id")
         .join(per_row, "id", "left")

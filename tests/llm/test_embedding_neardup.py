@@ -55,6 +55,27 @@ def test_against_brute_force_and_recall(spark):
     assert found >= 0.9 * sum(n for _, n, _, _ in want)
 
 
+def flat(n=600, width=64, dims=8):
+    """Pairs right at the limit, in few of the dimensions."""
+    r = np.random.default_rng(3)
+    base = np.linalg.qr(r.normal(size=(width, dims)))[0].T
+    x = r.normal(size=(n // 2, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = r.normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    return np.r_[x, y] @ base
+
+
+def test_few_dimensions(spark):
+    x = flat()
+    near = x @ x.T >= 0.93
+    want = {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+    assert sum(want.values()) >= len(x)
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())]
+    assert {i: n for i, n, _, _ in run(spark, rows, per_cell=4, block=20)} == want
+
+
 def test_unusable_vectors(spark):
     one = [1.0] + [0.0] * 7
     bad = [None, [], [0.0] * 8, [1.0, None] + [0.0] * 6, [math.nan] + [1.0] * 7, [math.inf] + [1.0] * 7, [1.0, 2.0]]
