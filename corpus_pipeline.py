@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.language_id import identify
 from loomgraph.llm.minhash_neardup import near_duplicates
 from loomgraph.llm.packing import pack
-from loomgraph.llm.quality_rules import quality_rules
+from loomgraph.llm.quality_rules import without_common_lines
 from loomgraph.llm.queries import vocabulary
 from loomgraph.llm.storage import table, written
 from loomgraph.llm.substring_dedup import remove_repeats
@@ -36,8 +36,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the counts or are depleted go."""
-    return _keep(docs, quality_rules(docs).where("kept"))
+    """Documents that fail the counts or are depleted go; common lines leave the others' texts."""
+    out = without_common_lines(docs)
+    columns = {"n_chars": F.when(F.col("n_line_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

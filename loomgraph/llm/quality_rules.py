@@ -11,7 +11,8 @@ text once. A line found in more than ``line_limit`` documents and ``line_share``
 of a host's is removed, except from the first (smallest id) that holds it, and a
 document with fewer than ``min_left`` percent of its words left is depleted.
 Copies of one text are one document in these counts: a page copied a thousand times
-is for the duplicate operators, not here.
+is for the duplicate operators, not here. :func:`quality_rules` gives the counts and verdicts,
+:func:`without_common_lines` the kept documents and their texts without the removed lines.
 
 The counting groups by (host, line), reduced before the shuffle; the hot lines come
 back to documents through a join that can be split, and per document only sums travel.
@@ -42,7 +43,7 @@ _IN_WORD = _STARTS_POINT & ~IS_SPACE
 
 
 def _lines(s):
-    """Of each line with a word: its document, bytes (start, end) and words (first, last)."""
+    """Of each line with a word: its document, bytes (start, end), words (first, last) and number in the document."""
     breaks = np.flatnonzero(s.data == 10)
     start = np.union1d(breaks + 1, s.bounds[:-1])
     start = start[start < len(s.data)]
@@ -51,7 +52,8 @@ def _lines(s):
     some = last > first
     start, end, first, last = start[some], end[some], first[some], last[some]
     end = end - (s.data[end - 1] == 10)
-    return np.searchsorted(s.bounds, start, side="right") - 1, start, end, first, last
+    doc = np.searchsorted(s.bounds, start, side="right") - 1
+    return doc, start, end, first, last, np.searchsorted(breaks, start) - np.searchsorted(breaks, s.bounds[doc])
 
 
 def _key(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -77,7 +79,7 @@ def _measure(batches):
     for batch in batches:
         for s in slices(batch.column(1)):
             words = s.word_hash()
-            doc, start, end, _, _ = _lines(s)
+            doc, start, end, *_ = _lines(s)
             _, first = np.unique(_key(doc, s.span_hash(start, end)), return_index=True)
             again = np.ones(len(doc), bool)
             again[first] = False
@@ -94,22 +96,24 @@ def _measure(batches):
 
 
 def _line_rows(batches):
-    """Columns: id, host, copy, text. For each row and distinct line: how many words it has there."""
+    """Columns: id, host, copy, text. For each row and distinct line: how many words it has there, and which lines it is."""
     for batch in batches:
         for s in slices(batch.column(3)):
             words = s.word_hash(lower=True)
-            doc, _, _, first, last = _lines(s)
+            doc, _, _, first, last, number = _lines(s)
             h = s.run_hash(s.word_sums(words), first, last)
             _, at, group = np.unique(_key(doc, h), return_index=True, return_inverse=True)
             total = np.bincount(group, weights=last - first, minlength=len(at)).astype(np.int64)
+            bounds = np.r_[0, np.cumsum(np.bincount(group, minlength=len(at)))].astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(bounds), pa.array(number[np.argsort(group, kind="stable")].astype(np.int32)))
             rows = pa.array(s.rows[0] + doc[at])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(rows) for c in range(3)), pa.array(signed(h[at])), pa.array(total)],
-                names=["id", "host", "copy", "line", "words"],
+                [*(batch.column(c).take(rows) for c in range(3)), pa.array(signed(h[at])), pa.array(total), places],
+                names=["id", "host", "copy", "line", "words", "places"],
             )
 
 
-def quality_rules(
+def _judge(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -119,10 +123,10 @@ def quality_rules(
     line_limit: int = 100,
     line_share: int = 5,
     min_left: int = 30,
-) -> DataFrame:
-    """Per row: doc_id, the five counts, base_failed, n_line_words (words in removed lines), depleted and kept."""
+) -> tuple[DataFrame, DataFrame]:
+    """Verdicts per row with its host and copy, and by (g_id, g_host, g_copy) the words and numbers of the removed lines."""
     source = pick(docs, id=id_col, text=text_col, host=host_col).withColumn("copy", F.xxhash64("text"))
-    lines = source.select("id", "host", "copy", "text").mapInArrow(_line_rows, "id long, host string, copy long, line long, words long")
+    lines = source.select("id", "host", "copy", "text").mapInArrow(_line_rows, "id long, host string, copy long, line long, words long, places array<int>")
     lines = written(lines, "lines")
     texts = lines.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
     per_copy = lines.groupBy("host", "line", "copy").agg(F.min("id").alias("first"))
@@ -130,22 +134,55 @@ def quality_rules(
     common = common.where(F.col("n") > line_limit).alias("c").join(texts.alias("t"), F.expr("c.host <=> t.host"))
     common = common.where(100 * F.col("n") > line_share * F.col("texts")).select("c.host", "line", "first")
     gone = (
-        lines.dropDuplicates(["id", "host", "copy", "line"])
-        .alias("l")
+        lines.alias("l")
         .join(common.alias("c"), F.expr("l.host <=> c.host AND l.line = c.line AND NOT l.id <=> c.first"))
-        .groupBy("l.id", "l.host", "l.copy")
-        .agg(F.sum("words").alias("n_line_words"))
-        .select(*(F.col(c).alias(f"g_{c}") for c in ("id", "host", "copy")), "n_line_words")
+        .select("l.id", "l.host", "l.copy", "l.line", "words", "places")
+        .dropDuplicates(["id", "host", "copy", "line"])
+        .groupBy("id", "host", "copy")
+        .agg(F.sum("words").alias("n_line_words"), F.flatten(F.collect_list("places")).alias("gone_lines"))
+        .select(*(F.col(c).alias(f"g_{c}") for c in ("id", "host", "copy")), "n_line_words", "gone_lines")
     )
     gone = written(gone, "common-lines")
     discard(lines)
     schema = "row struct<id:long,host:string,copy:long>, " + ", ".join(f"{c} long" for c in _COUNTS)
     counts = source.select(F.struct("id", "host", "copy").alias("row"), "text").mapInArrow(_measure, schema)
-    return (
+    verdicts = (
         counts.select(F.col("row.id").alias("doc_id"), F.col("row.host").alias("host"), F.col("row.copy").alias("copy"), *_COUNTS)
         .join(gone, F.expr("doc_id <=> g_id AND host <=> g_host AND copy = g_copy"), "left")
-        .select("doc_id", *_COUNTS, F.coalesce("n_line_words", F.lit(0)).alias("n_line_words"))
+        .select("doc_id", "host", "copy", *_COUNTS, F.coalesce("n_line_words", F.lit(0)).alias("n_line_words"))
         .withColumn("base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words"))
         .withColumn("depleted", F.expr(f"n_words > 0 AND 100 * (n_words - n_line_words) < {min_left} * n_words"))
         .withColumn("kept", F.expr("NOT base_failed AND NOT depleted"))
     )
+    return verdicts, gone
+
+
+def quality_rules(docs: DataFrame, **rules) -> DataFrame:
+    """Per row: doc_id, the five counts, base_failed, n_line_words (words in removed lines), depleted and kept."""
+    return _judge(docs, **rules)[0].drop("host", "copy")
+
+
+def without_common_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules
+) -> DataFrame:
+    """The kept rows in their columns, without the removed lines in their texts, and n_line_words."""
+    verdicts, gone = _judge(docs, id_col, text_col, host_col, **rules)
+    kept = verdicts.where("kept").select("doc_id", "host", "copy").distinct()
+    kept = kept.join(gone, F.expr("doc_id <=> g_id AND host <=> g_host AND copy = g_copy"), "left")
+    kept = kept.select(*(F.col(c).alias(f"k_{c}") for c in ("doc_id", "host", "copy")), "n_line_words", "gone_lines")
+    # written first: the verdicts' Python code and the join of whole texts don't share an executor's memory
+    kept = written(kept, "kept-rows")
+    discard(gone)
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        F.col(f"`{host_col}`").cast("string").alias("host"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("copy"),
+    )
+    # rows grow with the corpus: the same join at every size
+    rows = rows.join(kept.hint("merge"), F.expr("id <=> k_doc_id AND host <=> k_host AND copy = k_copy"))
+    text = F.col("row").getField(text_col)
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
+    text = F.when(F.col("gone_lines").isNull(), text).otherwise(left)
+    columns = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*columns, F.coalesce("n_line_words", F.lit(0)).alias("n_line_words"))

@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from loomgraph.llm.quality_rules import quality_rules
+from loomgraph.llm.quality_rules import quality_rules, without_common_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,3 +55,17 @@ def test_null_id(spark):
 
 def test_empty(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_common_lines_leave_the_texts(spark):
+    body = " ".join(f"w{i}" for i in range(25))
+    rows = [(i, f"All Rights  reserved\n{body} {i}\n\nall rights reserved", "h1", i) for i in range(6)]
+    rows += [(8, body + " 8\n", "h1", 8), (9, f"all rights reserved\n{body}", None, 9), (10, "too short", "h1", 10)]
+    rows += [(None, f"{body}\r\nall rights reserved\r\n{body[:9]} x", "h1", 11), (0, body + " another text", "h1", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    got = sorted(tuple(r) for r in without_common_lines(df, line_limit=3).select("n", "doc_id", "text", "n_line_words").collect())
+    want = [(n, i, t, 0) for i, t, _, n in rows if n != 10]
+    for i in range(1, 6):
+        want[i] = (i, i, f"{body} {i}\n", 6)
+    want[-2] = (11, None, f"{body}\r\n{body[:9]} x", 3)
+    assert got == want
