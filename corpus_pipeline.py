@@ -19,6 +19,8 @@ from loomgraph.llm.substring_dedup import remove_repeats
 
 #: A document is rejected when no language is as likely as this.
 LANGUAGE_SCORE = 0.5
+#: A line in so few texts of a host is never common; above, the share of the host's texts decides at every size.
+FEW_TEXTS = 3
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the counts or are depleted go; common lines leave the others' texts."""
-    out = without_common_lines(docs)
+    out = without_common_lines(docs, line_limit=FEW_TEXTS)
     columns = {"n_chars": F.when(F.col("n_line_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
 

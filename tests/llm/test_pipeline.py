@@ -49,3 +49,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in packed} == {r[0] for r in kept["substring"]}
     total = sum(r.length for r in packed)
     assert len({r.sequence_id for r in packed}) == -(-total // 2048)
+
+
+def test_common_lines_go_from_small_hosts(spark, tmp_path):
+    texts = [" ".join(f"w{i}x{j}" for j in range(25)) for i in range(40)]
+    line = "all rights reserved by the owners of this page"
+    rows = [(i, f"{t}\n{line}" if i < 5 else t, "aa", "src0", len(t) + (i < 5) * (len(line) + 1)) for i, t in enumerate(texts)]
+    rows += [(50, f"only here\n{line}\n{line}\n{line}", "aa", "src0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()))
+    want = [rows[0]] + [(i, t, "aa", "src0", len(t)) for i, t in enumerate(texts) if i]
+    assert got == want
