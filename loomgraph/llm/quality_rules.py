@@ -18,8 +18,9 @@ The counting groups by (host, line), reduced before the shuffle; the hot lines c
 back to documents through a join that can be split, and per document only sums travel.
 
 Nulls: a null text has no words; a null host is a host of its own; a null id is
-returned as it is. Rows that repeat id, host and text are one row's copies, each
-returned. Other columns are not read.
+returned as it is, and its row isn't a line's first where another holds the line. Rows that repeat id, host and text are one row's copies, each
+returned. Very long texts are taken one at a time, in memory in proportion to their bytes. Other
+columns are not read; :func:`without_common_lines` returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, pick, written
-from .words import IS_SPACE, mix, per_doc, signed, slices
+from .words import IS_SPACE, digests, mix, per_doc, signed, slices
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -62,7 +63,7 @@ def _key(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _repeated(s, words: np.ndarray) -> np.ndarray:
     """Whether each word is in a window that its document holds twice or more."""
-    first, h = s.grams(s.word_sums(words), REPEAT_WINDOW)
+    first, h = s.grams(words, REPEAT_WINDOW)
     _, group, n = np.unique(_key(np.searchsorted(s.ptr, first, side="right") - 1, h), return_inverse=True, return_counts=True)
     at = first[n[group] > 1]
     steps = np.zeros(len(words) + 1, np.int64)
@@ -80,7 +81,8 @@ def _measure(batches):
         for s in slices(batch.column(1)):
             words = s.word_hash()
             doc, start, end, *_ = _lines(s)
-            _, first = np.unique(_key(doc, s.span_hash(start, end)), return_index=True)
+            same = digests(s.parts(start, end))
+            _, first = np.unique(_key(doc, same), return_index=True)
             again = np.ones(len(doc), bool)
             again[first] = False
             values = [
@@ -99,9 +101,8 @@ def _line_rows(batches):
     """Columns: id, host, copy, text. For each row and distinct line: how many words it has there, and which lines it is."""
     for batch in batches:
         for s in slices(batch.column(3)):
-            words = s.word_hash(lower=True)
-            doc, _, _, first, last, number = _lines(s)
-            h = s.run_hash(s.word_sums(words), first, last)
+            doc, start, end, first, last, number = _lines(s)
+            h = digests([b" ".join(line.split()) for line in s.parts(start, end, lower=True)])
             _, at, group = np.unique(_key(doc, h), return_index=True, return_inverse=True)
             total = np.bincount(group, weights=last - first, minlength=len(at)).astype(np.int64)
             bounds = np.r_[0, np.cumsum(np.bincount(group, minlength=len(at)))].astype(np.int32)
@@ -163,9 +164,9 @@ def quality_rules(docs: DataFrame, **rules) -> DataFrame:
 
 
 def without_common_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", added: str = "n_line_words", **rules
 ) -> DataFrame:
-    """The kept rows in their columns, without the removed lines in their texts, and n_line_words."""
+    """The kept rows in their columns, without the removed lines in their texts, and column ``added``: words in these lines."""
     verdicts, gone = _judge(docs, id_col, text_col, host_col, **rules)
     kept = verdicts.where("kept").select("doc_id", "host", "copy").distinct()
     kept = kept.join(gone, F.expr("doc_id <=> g_id AND host <=> g_host AND copy = g_copy"), "left")
@@ -185,4 +186,4 @@ def without_common_lines(
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
     text = F.when(F.col("gone_lines").isNull(), text).otherwise(left)
     columns = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
-    return rows.select(*columns, F.coalesce("n_line_words", F.lit(0)).alias("n_line_words"))
+    return rows.select(*columns, F.coalesce("n_line_words", F.lit(0)).alias(added))

@@ -22,9 +22,13 @@ smaller id, or earlier in the same one.
 Groups are only ever counted or reduced to a minimum before a shuffle, and joins
 against them can be split where one key is frequent.
 
-Nulls: a null text has no words; a null id sorts after all others. Rows that repeat
-an id count as one document: what repeats within both goes from both. Texts shorter
-than a window lose nothing. Other columns are not read.
+Nulls: a null text has no words. Rows whose id is null or repeated come after all others,
+in the order of a hash of id and text; those that are equal count as one document, and each
+gets its result. Texts shorter than a window lose nothing; a very long one is a slice of its
+own, so it takes memory in proportion to its bytes. Other columns are not read, whatever their names.
+
+A path of two anchors or more is a repeat only if the hashes of both, and their distance, occur
+elsewhere: 128 bits in all. All other windows are settled by two independent hashes of their words.
 """
 
 from __future__ import annotations
@@ -34,21 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import discard, pick, written
-from .words import Slice, mix, per_doc, ragged, signed, slices
-
-LAST_ID = 2**63 - 1
-
+from .storage import discard, pick, row_key, written
+from .words import Slice, mix, per_doc, runs, signed, slices
 
 def _windows(s: Slice, words: np.ndarray, window: int, k: int):
     """Starts of all windows, and the place of each one's anchor, with the k-mers' hashes."""
     n = len(words)
     if n < window:
         none = np.empty(0, np.int64)
-        return none, none, np.empty(0, np.uint64), None
-    sums = s.word_sums(words)
-    places = np.arange(n - k + 1)
-    grams = s.run_hash(sums, places, places + k)
+        return none, none, np.empty(0, np.uint64)
+    grams = runs(words, k)
     width = window - k + 1
     least = grams[: n - window + 1].copy()
     for o in range(1, width):
@@ -57,7 +56,7 @@ def _windows(s: Slice, words: np.ndarray, window: int, k: int):
     for o in range(width - 1, -1, -1):
         at[grams[o : o + len(least)] == least] = o
     start = np.flatnonzero(np.arange(len(least)) + window <= np.repeat(s.ptr[1:], s.counts)[: len(least)])
-    return start, start + at[start], grams, sums
+    return start, start + at[start], grams
 
 
 def _again(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -74,7 +73,7 @@ def _anchors(window: int, k: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for s in slices(batch.column(1)):
-                start, anchor, grams, _ = _windows(s, s.word_hash(), window, k)
+                start, anchor, grams = _windows(s, s.word_hash(), window, k)
                 if not len(start):
                     continue
                 anchor = anchor[np.r_[True, anchor[1:] != anchor[:-1]]]
@@ -114,8 +113,8 @@ def _open_windows(window: int, k: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for s in slices(batch.column(1)):
-                words = s.word_hash()
-                start, anchor, grams, sums = _windows(s, words, window, k)
+                words, other = s.spans(s.start, s.end)
+                start, anchor, grams = _windows(s, words, window, k)
                 if not len(start):
                     continue
                 n = len(words)
@@ -135,11 +134,10 @@ def _open_windows(window: int, k: int):
                 if not len(start):
                     continue
                 doc = np.searchsorted(s.ptr, start, side="right") - 1
-                h = s.run_hash(sums, start, start + window)
+                h = runs(words, window)[start]
                 new = ~_again(doc, h)  # _cut settles those that stood in the same document
                 start, doc, h = start[new], doc[new], h[new]
-                other = s.word_sums(mix(words + np.uint64(0xA5A5A5A5)))
-                check = s.run_hash(other, start, start + window)
+                check = runs(other, window)[start]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(h)),
@@ -171,7 +169,7 @@ def _cut(window: int, k: int):
                 pos, places = _lists(batch.column(5), *s.rows)
                 first = np.repeat(s.ptr[:-1], places) + pos
                 first = first[first + window <= np.repeat(limit, places)]
-                start, h = s.grams(s.word_sums(s.word_hash()), window)
+                start, h = s.grams(s.word_hash(), window)
                 first = np.r_[first, start[_again(np.searchsorted(s.ptr, start, side="right") - 1, h)]]
                 gone = _marked(n, np.r_[low[whole], first].astype(np.int64), np.r_[high[whole], first + window].astype(np.int64))
                 raw = s.data.tobytes()
@@ -206,7 +204,8 @@ def _cut(window: int, k: int):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (words joined by one space) and the removed spans of words."""
     k = window // 2 + 1
-    source = pick(docs, doc_id=id_col, text=text_col).withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID)))
+    source = pick(docs, doc_id=id_col, text=text_col)
+    source = source.withColumn("id", row_key(source, "doc_id", "text"))
     texts = source.select("id", "text")
 
     # 1. anchors that occur twice or more

@@ -7,13 +7,16 @@ before it. For training, those come from models that did not see the document (`
 out-of-fold parts); for scoring, from the models of the whole sample. The last category's
 threshold is where its out-of-fold predictions have the best F1.
 
-The models are fitted on at most ``sample`` labelled documents, the same ones each time;
-they are a few thousand weights, and every text is scored whole, in one pass.
+The models are fitted on about ``sample`` labelled documents, the same ones each time, and on at most
+``DOCUMENT_WORDS`` distinct words of each; they are a few thousand weights, and every text is scored whole, in
+one pass. Categories should tell documents apart in different ways: one that follows from those before it adds nothing.
 
 Nulls: a null text has no words and gets the scores of an empty one; labels with a null
 are not learned from, of several for one id the largest counts. With no labels of both
 kinds a category's probability is its share (0 without labels). Ids may be null or
-repeated: rows are independent. Other columns are not read.
+repeated: rows are independent, and of rows that repeat a labelled id the text of the smallest hash is
+learned from. A probability that equals the threshold is toxic. Very long texts are taken one at a
+time. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import pick
+from .storage import hash_sample, pick
 from .words import signed, slices
 
 #: Words that a model keeps: those whose presence differs most between the classes.
 FEATURES = 4096
+#: Distinct words of a document that are learned from, those of the smallest hashes.
+DOCUMENT_WORDS = 4096
 #: Standard deviations that a word's presence differs by, at least: fewer are likely chance.
 DEVIATIONS = 4.0
 _PUNCTUATION = np.zeros(256, bool)
@@ -40,7 +45,7 @@ def features(s) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(4):
         end -= _PUNCTUATION[s.data[end - 1]] & (end - start > 1)
         start += _PUNCTUATION[s.data[np.minimum(start, len(s.data) - 1)]] & (end - start > 1)
-    h, doc = s.span_hash(start, end, lower=True), s.doc_of_word()
+    h, doc = s.spans(start, end, lower=True)[0], s.doc_of_word()
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -49,12 +54,14 @@ def features(s) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _training_rows(batches):
-    """Columns: id, text, labels. The features of each text."""
+    """Columns: id, text, copy. The features of each text; they are in the order of their hashes."""
     for batch in batches:
         for s in slices(batch.column(1)):
             x, ptr = features(s)
-            lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(signed(x)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.rows[0], s.n) for c in (0, 2)), lists], names=["id", "labels", "x"])
+            kept = np.arange(len(x)) - np.repeat(ptr[:-1], np.diff(ptr)) < DOCUMENT_WORDS
+            ptr = np.r_[0, np.cumsum(kept)][ptr]
+            lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(signed(x[kept])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.rows[0], s.n) for c in (0, 2)), lists], names=["id", "copy", "x"])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -180,6 +187,25 @@ def _score(chain: Chain):
     return run
 
 
+def learn(
+    docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", sample: int = 12000
+) -> Chain:
+    """The chain of the categories (name -> SQL condition on a row of labels), in their order."""
+    conditions = F.array(*(F.expr(f"CAST({c} AS INT)") for c in categories.values()))
+    known = labels.select(F.col(f"`{label_id_col}`").alias("id"), conditions.alias("labels"))
+    known = hash_sample(known.where("id IS NOT NULL AND NOT exists(labels, x -> x IS NULL)"), ["id"], sample)
+    merged = known.groupBy("id").agg(*(F.max(F.col("labels")[i]).alias(f"l{i}") for i in range(len(categories))))
+    merged = merged.select("id", F.array(*(f"l{i}" for i in range(len(categories)))).alias("labels"))
+    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(merged.select("id")), "id", "left_semi")  # about sample ids
+    seen = texts.select("id", "text", F.xxhash64("text").alias("copy")).mapInArrow(_training_rows, "id long, copy long, x array<long>")
+    one = seen.groupBy("id").agg(F.min_by("x", "copy").alias("x"))
+    rows = one.join(F.broadcast(merged), "id").toArrow().sort_by("id")
+    lists = rows["x"].combine_chunks()
+    x = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ptr = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    return fit_chain(x, ptr, np.array(rows["labels"].to_pylist(), np.int64).reshape(-1, len(categories)))
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -189,29 +215,16 @@ def classify(
     label_id_col: str = "doc_id",
     sample: int = 12000,
 ) -> DataFrame:
-    """categories: name -> SQL condition on a row of labels, in the chain's order. Per row: doc_id,
-    p_<name> for each, and toxic: whether the last one's probability reaches the threshold."""
-    conditions = F.array(*(F.expr(f"CAST({c} AS INT)") for c in categories.values()))
-    known = labels.select(F.col(f"`{label_id_col}`").alias("id"), conditions.alias("labels"))
-    known = known.where("id IS NOT NULL AND NOT exists(labels, x -> x IS NULL)")
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    merged = chosen.groupBy("id").agg(*(F.max(F.col("labels")[i]).alias(f"l{i}") for i in range(len(categories))))
-    merged = merged.select("id", F.array(*(f"l{i}" for i in range(len(categories)))).alias("labels"))
-    texts = pick(docs, id=id_col, text=text_col)
-    train = texts.join(F.broadcast(merged), "id").select("id", "text", "labels")  # sample rows at most
-    rows = train.mapInArrow(_training_rows, "id long, labels array<int>, x array<long>").toArrow().sort_by("id")
-    lists = rows["x"].combine_chunks()
-    x = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    ptr = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-    y = np.array(rows["labels"].to_pylist(), np.int64).reshape(-1, len(categories))
-    chain = fit_chain(x, ptr, y)
+    """categories: see :func:`learn`. Per row: doc_id, p_<name> for each, and toxic: whether the last one's
+    probability reaches the threshold."""
+    chain = learn(docs, labels, categories, id_col, text_col, label_id_col, sample)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def score(batches):
         yield from _score(shared.value)(batches)
 
     schema = "doc_id long, " + ", ".join(f"p{c} double" for c in range(len(categories)))
-    out = texts.mapInArrow(score, schema)
+    out = pick(docs, id=id_col, text=text_col).mapInArrow(score, schema)
     return out.select(
         "doc_id",
         *(F.col(f"p{i}").alias(f"p_{name}") for i, name in enumerate(categories)),

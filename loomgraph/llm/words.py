@@ -1,56 +1,29 @@
-"""Words, n-grams and 64-bit hashes of whole Arrow batches of texts, in numpy.
+"""Words, n-grams and hashes of whole Arrow batches of texts.
 
-A word is ``[^\\x20\\x09-\\x0D]+``. All texts of a slice share one byte buffer;
-a prefix sum of ``T[byte] * B**position`` (mod 2**64) gives the hash of any span
-in constant time, and a second prefix sum over word hashes that of any n-gram.
-Nothing here loops over words in Python.
+A word is ``[^\\x20\\x09-\\x0D]+``. All texts of a slice share one byte buffer. Words are hashed in numpy,
+8 bytes of each at a time; a bijection that is not linear mixes every block before the next. (A
+polynomial in a fixed base, mod 2**64, would collide on periodic texts whatever its base.) Runs of
+words are hashed by doubling: runs of 2, 4, 8 words from pairs of half as many, with the same mixing.
+Nothing here loops over words in Python, but for words of more than ``LONG_WORD`` bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text held as arrays at a time; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
-_WORD_BASE = 0x9E3779B97F4A7C15
-_BYTE_BASE = 0xD6E8FEB86659FD93
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
 
-
-def _byte_table(seed: int) -> np.ndarray:
-    table = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64)
-    return table * np.uint64(2) + np.uint64(1)
-
-
-BYTE_VALUE = _byte_table(20)
-LOWER_VALUE = BYTE_VALUE.copy()
-LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Seeds Python's ``lower`` for A-Z only.
+#: Lower case of A-Z only.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse, mod 2**64, as far as asked."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[: n + 1], self.down[: n + 1]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -63,10 +36,48 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _prefix(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, out=out[1:])
-    return out
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, in their order."""
+    return mix(a * _FOLD + b)
+
+
+def digests(parts: list[bytes]) -> np.ndarray:
+    """64 bits of a digest of each part."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in parts]), np.uint64)
+
+
+#: Longer words are digested one by one.
+LONG_WORD = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SEEDS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_SPREAD = np.uint64(0x8EBC6AF09C88C6E3)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span of bytes.
+
+    Spans are read 8 bytes at a time, all of them at once, into two states that are updated by
+    different bijections; both states enter both hashes. Spans over ``LONG_WORD`` bytes get halves of a digest.
+    """
+    length = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    one = mix(length.astype(np.uint64) + _SEEDS[0])
+    two = mix(length.astype(np.uint64) ^ _SEEDS[1])
+    at = np.flatnonzero(length <= LONG_WORD)
+    for j in range(0, LONG_WORD, 8):
+        at = at[length[at] > j] if len(at) else at
+        if not len(at):
+            break
+        block = blocks[start[at] + j] & _KEEP[np.minimum(length[at] - j, 8)]
+        one[at] = mix(one[at] ^ block)
+        two[at] = mix(two[at] + block * _SPREAD)
+    one, two = join(one, two), join(two ^ _SEEDS[0], one)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        both = blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        one[i], two[i] = np.frombuffer(both, np.uint64)
+    return one, two
 
 
 class Slice:
@@ -89,53 +100,62 @@ class Slice:
         after[:-1] = inside
         after[-1:] = False
         after[bounds] = False
-        self.inside = inside
         self.start = np.flatnonzero(inside & ~before[:-1])
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.ptr = np.searchsorted(self.start, bounds)
         self.counts = np.diff(self.ptr)
-        self._sums: dict[bool, np.ndarray] = {}
+
+    def raw(self, lower: bool = False) -> bytes:
+        raw = self.data.tobytes()
+        return raw.translate(ASCII_LOWER) if lower else raw
+
+    def parts(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> list[bytes]:
+        """The bytes of each span."""
+        raw = self.raw(lower)
+        return [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.counts)
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """Hash of the bytes of each span."""
-        up, down = _BYTE_POWERS.upto(len(self.data))
-        if lower not in self._sums:
-            self._sums[lower] = _prefix((LOWER_VALUE if lower else BYTE_VALUE)[self.data] * up[:-1])
-        sums = self._sums[lower]
-        return mix((sums[end] - sums[start]) * down[start])
+    def spans(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the bytes of each span."""
+        return span_hashes(_LOWER[self.data] if lower else self.data, start, end)
 
     def word_hash(self, lower: bool = False) -> np.ndarray:
-        return self.span_hash(self.start, self.end, lower)
-
-    def word_sums(self, words: np.ndarray) -> np.ndarray:
-        up, _ = _WORD_POWERS.upto(len(words))
-        return _prefix(words * up[:-1])
+        return self.spans(self.start, self.end, lower)[0]
 
-    @staticmethod
-    def run_hash(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hash of each run of words [first, last), from :meth:`word_sums`."""
-        _, down = _WORD_POWERS.upto(len(sums))
-        return mix((sums[last] - sums[first]) * down[first])
-
-    def grams(self, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word, and hash, of each run of k words in one document."""
-        n = len(self.start)
-        if n < k:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        _, down = _WORD_POWERS.upto(n)
-        h = mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
-        fits = np.arange(n - k + 1) + k <= np.repeat(self.ptr[1:], self.counts)[: n - k + 1]
+        h = runs(words, k)
+        fits = np.arange(len(h)) + k <= np.repeat(self.ptr[1:], self.counts)[: len(h)]
         first = np.flatnonzero(fits)
         return first, h[first]
 
-    def text(self, doc: int) -> bytes:
-        return self.data[self.bounds[doc] : self.bounds[doc + 1]].tobytes()
 
-    def word(self, raw: bytes, i: int) -> bytes:
-        return raw[self.start[i] : self.end[i]]
+def runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k consecutive words; documents' ends don't matter here."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    out, done, width, level = None, 0, 1, words
+    while True:
+        if k & width:
+            part = level[done : done + n]
+            out = part if out is None else join(out, part)
+            done += width
+        if done == k:
+            return mix(out + np.uint64(k))
+        level = join(level[:-width], level[width:])
+        width *= 2
+
+
+def short_runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each run of words [first, last), in as many steps as the longest has words."""
+    h = mix((last - first).astype(np.uint64))
+    for j in range(int((last - first).max(initial=0))):
+        here = first + j < last
+        h[here] = join(h[here], words[first[here] + j])
+    return h
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
