@@ -15,15 +15,18 @@ a text of fewer words is one run). Two are linked when their Jaccard similarity
    implies are dropped, all others are compared by their full sets.
 4. Hubs: every document is compared with the best sketch among the smallest ids of
    its buckets; this joins the members of large groups in linear work.
-5. The rest: buckets that still hold more than one component are cut into blocks of
-   ``block`` documents of the main component; the others, usually few, are compared by
-   sketch with each block and with each other. Only pairs of different components
-   that no earlier band holds are confirmed, and a block returns one link for each
+5. The rest: in buckets that still hold more than one component, the documents of the main (most frequent)
+   component and all others are cut into blocks of ``block`` documents, and each block of others is
+   compared by sketch with each main one and with each block of others. Two blocks are the most that a group
+   holds, however large a bucket is. Only pairs of different components
+   that no earlier band holds are confirmed, and a group returns one link for each
    pair of components that it joins, never all pairs.
 
 Nulls: a document without words (or with a null text) is in no set and linked with
 nothing; a null id takes no part and is returned with a null component. Rows that
-repeat an id are one node: the union of their links. Other columns are not read.
+repeat an id are one node: the union of their links. Of equally good hubs the smallest id counts. Very
+long texts are taken one at a time, in memory in proportion to their bytes. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import discard, partitions, pick, written
-from .words import mix, signed, slices
+from .words import mix, short_runs, signed, slices
 
 SKETCH_BITS = 1024
 
@@ -50,12 +53,11 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _shingles(s, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document of a slice, sorted, and where each begins."""
     words = s.word_hash(lower=True)
-    sums = s.word_sums(words)
-    first, h = s.grams(sums, k)
+    first, h = s.grams(words, k)
     doc = np.searchsorted(s.ptr, first, side="right") - 1
     short = np.flatnonzero((s.counts > 0) & (s.counts < k))
     if len(short):
-        h = np.r_[h, s.run_hash(sums, s.ptr[short], s.ptr[short + 1])]
+        h = np.r_[h, short_runs(words, s.ptr[short], s.ptr[short + 1])]
         doc = np.r_[doc, short]
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -206,12 +208,11 @@ class _Union:
 
 def _pairs(part: dict, limit: int, percent: int, bands: int):
     """Pairs (i, j) of a block that need a full check: different components, sizes and sketches that
-    allow a link, and no earlier band in common. Side 0 is the bucket's main component, 1 others, 2
-    others in the block where they meet others of larger ids."""
+    allow a link, and no earlier band in common. Side 1 meets side 0; a block that is alone meets itself."""
     ids, component, n, sketch, keys, side, band = (part[c] for c in ("id", "component", "n", "sketch", "keys", "side", "band"))
-    main, others = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
-    for i in others:
-        js = np.r_[main, others[ids[others] > ids[i]]] if side[i] == 2 else main
+    one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    for i in one:
+        js = one[ids[one] > ids[i]] if part["alone"] else two
         fits = (component[js] != component[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))
         js = js[fits]
         if not len(js):
@@ -230,10 +231,12 @@ def _part(rows: pa.Table, bands: int) -> dict:
     keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, bands)
     sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(rows), -1)
     out = {c: rows[c].to_numpy() for c in ("id", "component", "n", "side")}
-    return out | {"keys": keys, "sketch": sketch, "band": int(rows["band"][0].as_py())}
+    x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
+    return out | {"keys": keys, "sketch": sketch, "band": int(rows["band"][0].as_py()), "alone": x == -1 - y}
 
 
-_PART = ["key", "band", "x"]
+#: x: a main block, or -1 - a block of others; y: a block of others.
+_PART = ["key", "band", "x", "y"]
 
 
 def _screen(limit: int, percent: int, bands: int):
@@ -274,7 +277,7 @@ def near_duplicates(
     percent: int = 75,
     bands: int = 48,
     rows: int = 5,
-    block: int = 1024,
+    block: int = 2048,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links) and kept (doc_id = component_id)."""
     spark = docs.sparkSession
@@ -323,21 +326,22 @@ def near_duplicates(
     labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "band", "id", F.coalesce("component", "id").alias("component")
     )
+    kinds = labelled.groupBy("key", "band", "component").agg(F.count("*").alias("n"))
     mixed = (
-        labelled.groupBy("key", "band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-        .where("low != high")
-        .select("key", "band", "low", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+        kinds.groupBy("key", "band")
+        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("kinds"))
+        .where("kinds > 1")
+        .select("key", "band", "main", F.ceil(F.col("most") / block).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("others"))
     )
-    rest = labelled.join(mixed, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = (
-        rest.withColumn("x", F.explode(F.when(F.col("component") == F.col("low"), F.array("own")).otherwise(everywhere)))
-        .withColumn("side", F.when(F.col("component") == F.col("low"), 0).when(F.col("x") == F.col("own"), 2).otherwise(1))
-        .select("key", "band", "id", "component", "x", "side")
-        .join(signs, "id")
-    )
-    shape = "key long, band int, x int, id long, component long, n long, sketch binary, keys array<long>, side int"
+    is_main = F.col("component") == F.col("main")
+    rest = labelled.join(mixed, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    places = F.expr("""
+      CASE WHEN component = main THEN transform(sequence(0, others - 1), y -> struct(own AS x, y AS y, 0 AS side))
+      ELSE concat(transform(sequence(0, mains - 1), x -> struct(x AS x, own AS y, 1 AS side)),
+        transform(sequence(own, others - 1), y -> struct(-1 - own AS x, y AS y, 1 AS side)),
+        transform(filter(sequence(0, others - 1), x -> x < own), x -> struct(-1 - x AS x, own AS y, 0 AS side))) END""")
+    placed = rest.select("key", "band", "id", "component", F.explode(places).alias("p")).select("key", "band", "id", "component", "p.*").join(signs, "id")
+    shape = "key long, band int, x int, y int, id long, component long, n long, sketch binary, keys array<long>, side int"
     screened = placed.groupBy(*_PART).applyInArrow(_screen(limit, percent, bands), shape)
     screened = written(screened, "screened")
     discard(buckets)
