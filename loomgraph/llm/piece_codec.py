@@ -25,23 +25,24 @@ from pyspark.sql import DataFrame
 from .storage import pick
 from .words import buffers, slices
 
-#: Distinct chunks in a task's table before it starts anew.
-TABLE_CHUNKS = 500_000
+#: Distinct chunks, and bytes of them and their ids, in a task's table before it starts anew.
+TABLE_CHUNKS, TABLE_BYTES = 300_000, 32 << 20
 MARKER = "▁"
 
 
 class ChunkTable:
-    """Ids by the hash of a chunk; ``encode`` gets the bytes of the new ones and returns a list of ids for each."""
+    """Ids by the bytes of a chunk; ``encode`` gets the new ones and returns a list of ids for each."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = TABLE_CHUNKS):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], chunks: int = TABLE_CHUNKS, size: int = TABLE_BYTES):
+        self.encode, self.most, self.size = encode, chunks, size
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.used = np.zeros(8192, np.int32), 0
         self.chunks: list[bytes] = []
+        self.bytes = 0
 
     def _fit(self, name: str, need: int) -> None:
         old = getattr(self, name)
@@ -50,31 +51,30 @@ class ChunkTable:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def places(self, h: np.ndarray, chunk: Callable[[int], bytes]) -> np.ndarray:
-        """The table's place of each chunk; ``chunk(i)`` gives the bytes of the i-th."""
-        if len(self.at) > self.limit:
+    def places(self, chunks: list[bytes]) -> np.ndarray:
+        """The table's place of each chunk."""
+        if len(self.chunks) > self.most or self.bytes + 4 * self.used > self.size:
             self.clear()
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        found = [self.at.get(k, -1) for k in keys]
-        new = [i for i, p in enumerate(found) if p < 0]
-        if new:
-            chunks = [chunk(i) for i in first[new].tolist()]
-            base = len(self.chunks)
-            coded = self.encode(chunks)
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            total = int(sizes.sum())
-            self._fit("start", base + len(new))
-            self._fit("length", base + len(new))
-            self._fit("ids", self.used + total)
-            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(coded), np.int32, total)
-            self.start[base : base + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.length[base : base + len(new)] = sizes
-            self.used += total
-            self.chunks += chunks
-            for place, i in enumerate(new, base):
-                self.at[keys[i]] = found[i] = place
-        return np.array(found, np.int64)[inverse]
+        base = len(self.chunks)
+        try:
+            return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        except KeyError:
+            pass
+        new = list(dict.fromkeys(c for c in chunks if c not in self.at))
+        coded = self.encode(new)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        total = int(sizes.sum())
+        self._fit("start", base + len(new))
+        self._fit("length", base + len(new))
+        self._fit("ids", self.used + total)
+        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(coded), np.int32, total)
+        self.start[base : base + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.length[base : base + len(new)] = sizes
+        self.used += total
+        self.chunks += new
+        self.bytes += sum(map(len, new))
+        self.at.update(zip(new, range(base, base + len(new)), strict=True))
+        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
 
     def text_of(self, place: int) -> np.ndarray:
         return self.ids[self.start[place] : self.start[place] + self.length[place]]
@@ -139,7 +139,7 @@ def _codec(path: str):
             for row, s, start in marked_slices(batch.column(1)):
                 raw = s.data.tobytes()
                 stop = np.r_[start[1:], len(raw)]
-                places = table.places(s.span_hash(start, stop), lambda i: raw[start[i] : stop[i]])
+                places = table.places(s.parts(start, stop))
                 if known is not table.chunks:
                     known, decimal, plain = table.chunks, [], []
                 for p in range(len(decimal), len(table.chunks)):
@@ -176,9 +176,7 @@ def _encode_rows(path: str):
         table = ChunkTable(_encoder(path))
         for batch in batches:
             for row, s, start in marked_slices(batch.column(1)):
-                raw = s.data.tobytes()
-                stop = np.r_[start[1:], len(raw)]
-                places = table.places(s.span_hash(start, stop), lambda i: raw[start[i] : stop[i]])
+                places = table.places(s.parts(start, np.r_[start[1:], len(s.data)]))
                 ptr = np.searchsorted(start, s.bounds)
                 ids = [
                     np.r_[np.concatenate([table.text_of(p) for p in places[a:b]]) if b > a else np.empty(0, np.int32), end].astype(np.int32)

@@ -12,7 +12,7 @@ from .embedding_neardup import vector_duplicates
 from .language_id import identify
 from .lm_scoring import lattice_scores
 from .minhash_neardup import near_duplicates
-from .packing import pack
+from .packing import pieces, place
 from .quality_rules import quality_rules
 from .storage import table
 from .substring_dedup import remove_repeats
@@ -168,7 +168,8 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    cut = pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return place(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 @query
@@ -181,8 +182,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-#: From the narrow categories to all toxicity, as far as the labels tell them apart.
-TOXICITY = {"toxic_junk": "toxic = 1 AND quality = 0", "toxic_prose": "toxic = 1 AND quality = 1", "toxic": "toxic = 1"}
+#: All that the labels tell: junk, which is toxic or not, then toxicity.
+TOXICITY = {"junk": "quality = 0", "toxic": "toxic = 1"}
 
 
 @query

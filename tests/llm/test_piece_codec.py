@@ -40,13 +40,24 @@ def test_against_the_library(spark):
 
 
 def test_small_table_gives_the_same(spark, monkeypatch):
-    table = piece_codec.ChunkTable(piece_codec._encoder(MODEL), limit=2)
-    import numpy as np
+    for limits in ({"chunks": 2}, {"size": 20}):
+        table = piece_codec.ChunkTable(piece_codec._encoder(MODEL), **limits)
+        for text in (b" one", b" two", b" three", b" one", b" four"):
+            assert len(table.chunks) <= 6
+            place = table.places([text, text])[1]
+            assert table.text_of(place).tolist() == piece_codec.processor(MODEL).encode(text[1:].decode())
 
-    for text in (b" one", b" two", b" three", b" one", b" four"):
-        h = np.array([hash(text) & (2**63 - 1)], np.uint64)
-        place = table.places(h, lambda i, text=text: text)[0]
-        assert table.text_of(place).tolist() == piece_codec.processor(MODEL).encode(text[1:].decode())
+
+def test_periodic_words_are_told_apart(spark):
+    """Words on which a polynomial hash mod 2**64 collides whatever its base."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in piece_codec.encode(df, MODEL).collect()}
+    assert got == {i: [*sp.encode(t), sp.eos_id()] for i, t in ((1, one), (2, two))}
 
 
 def test_empty_and_crossing(spark, monkeypatch):
