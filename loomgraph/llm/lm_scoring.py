@@ -2,10 +2,13 @@
 
 Tokens: words (A-Z lower-cased), then one end. The lattice of a word holds every way to
 write it (behind a white space marker) with the pieces of an existing vocabulary, bytes
-standing in for characters it lacks. A piece's score is the log of its share, add-0.1,
-among the pieces of the training words as the vocabulary's own scores segment them; the
-forward recursion adds up all segmentations, so a word's value is its marginal log
-probability and a document's the sum over its words and the end.
+standing in for characters it lacks. The forward recursion adds up all segmentations, so a word's
+value is its marginal log probability and a document's the sum over its words and the end.
+
+Pieces are weighed by the vocabulary's scores and by the training words. The scores of a vocabulary
+made by merging pairs are negative ranks, not log probabilities, so they are read by Zipf's law: a share
+of 1 / (rank + ``ZIPF``), to scale. A piece's weight is its share among the pieces of the training words, as
+the scores segment them, with the shares of the scores as ``PRIOR`` more pieces.
 
 1. Each task counts its distinct words once and its pieces with them. Piece counts are
    summed over the vocabulary (32,000 rows), word counts over all words.
@@ -15,7 +18,9 @@ probability and a document's the sum over its words and the end.
    as (hash, document, count), and meet their counts in a join that no word dominates.
 
 Nulls: a null text is empty (its end alone). A null id is learned from and not held out;
-rows that repeat an id and text get the same scores. Other columns are not read.
+rows that repeat an id and text get the same scores. Very long texts are taken one at a time, in memory
+in proportion to their bytes; equal words have one value, so ties can't differ. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +37,11 @@ from .piece_codec import MARKER, processor
 from .storage import discard, pick, written
 from .words import ASCII_LOWER, mix, signed, slices
 
-FLUSH_WORDS = 100_000
+#: Distinct words, and bytes of them, that a task counts before it hands them on.
+FLUSH_WORDS, FLUSH_BYTES = 100_000, 16 << 20
 SMOOTHING = 0.1
+#: Pieces that the vocabulary's scores count as, and what is added to a rank.
+PRIOR, ZIPF = 3200.0, 2.7
 _NO_PROB = -math.inf
 
 
@@ -45,6 +53,7 @@ def held_out(doc_id: str):
 def _count_words(batches):
     """Columns: learn, text. Distinct words of a task so far: hash, word, count in training texts."""
     known: dict[int, list] = {}
+    size = 0
 
     def flush():
         out = pa.RecordBatch.from_arrays(
@@ -69,10 +78,12 @@ def _count_words(batches):
                 entry = known.get(h)
                 if entry is None:
                     known[h] = [raw[s.start[i] : s.end[i]].translate(ASCII_LOWER), n]
+                    size += int(s.end[i] - s.start[i])
                 else:
                     entry[1] += n
-            if len(known) > FLUSH_WORDS:
+            if len(known) > FLUSH_WORDS or size > FLUSH_BYTES:
                 yield flush()
+                size = 0
     if known:
         yield flush()
 
@@ -129,13 +140,22 @@ class Lattice:
         return alpha[-1]
 
 
-def piece_logs(counts: dict[int, int], size: int, ends: int, end_id: int) -> np.ndarray:
-    """Add-0.1 log shares of all pieces, the end among them."""
-    n = np.zeros(size)
+def score_shares(model: str) -> np.ndarray:
+    """Shares of a vocabulary's pieces by their scores; pieces without one (bytes, the end) rank behind all others."""
+    sp = processor(model)
+    size = sp.vocab_size()
+    rank = np.array([size if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) else -sp.get_score(i) for i in range(size)])
+    weight = 1 / (np.maximum(rank, 0) + ZIPF)
+    return weight / weight.sum()
+
+
+def piece_logs(counts: dict[int, int], shares: np.ndarray, ends: int, end_id: int) -> np.ndarray:
+    """Log weights of all pieces, the end among them: counts, and the shares of the scores as ``PRIOR`` more."""
+    n = np.zeros(len(shares))
     for i, c in counts.items():
         n[i] = c
     n[end_id] = ends
-    return np.log((n + SMOOTHING) / (n.sum() + SMOOTHING * size))
+    return np.log((n + PRIOR * shares) / (n.sum() + PRIOR))
 
 
 @functools.lru_cache(2)
@@ -202,7 +222,7 @@ def lattice_scores(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     sp = processor(model)
     pieces = words.where("n > 0").select("word", "n").mapInArrow(_count_pieces(model), "piece int, n long")
     counts = {r["piece"]: r["n"] for r in pieces.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # a row per piece
-    logs = piece_logs(counts, sp.vocab_size(), ends, sp.eos_id())
+    logs = piece_logs(counts, score_shares(model), ends, sp.eos_id())
 
     # 2. each word's values
     below = tokens + SMOOTHING * (distinct + 1)

@@ -5,7 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 
-from loomgraph.llm.lm_scoring import Lattice, lattice_scores, piece_logs
+from loomgraph.llm.lm_scoring import Lattice, lattice_scores, piece_logs, score_shares
 from loomgraph.llm.piece_codec import MARKER, processor
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,8 +50,9 @@ def test_against_brute_force(spark):
             for w in ws:
                 pieces.update(sp.encode(w))
     n, v = sum(words.values()) + ends, len(words) + 1
-    lattice = Lattice(MODEL, piece_logs(pieces, sp.vocab_size(), ends, sp.eos_id()))
-    end_log = float(piece_logs(pieces, sp.vocab_size(), ends, sp.eos_id())[sp.eos_id()])
+    logs = piece_logs(pieces, score_shares(MODEL), ends, sp.eos_id())
+    lattice = Lattice(MODEL, logs)
+    end_log = float(logs[sp.eos_id()])
     want = []
     for i, t in rows:
         ws = WORD.findall(lower(t))
