@@ -1,7 +1,7 @@
 """Verdicts on URLs: rules first, then gradient-boosted trees on lexical features.
 
 Rules are (host suffix, path prefix, verdict); the one with the longest text that fits
-wins. URLs that a rule settles are labelled by it, and up to ``sample`` of them train the
+wins. URLs that a rule settles are labelled by it, and about ``sample`` distinct ones of them train the
 trees: least-squares boosting of the logistic loss on histograms, one aggregation of
 gradients by (node, feature, bin) for each level of a tree. The trees become one SQL
 expression, so scoring is a projection inside whole-stage code: there is no Python,
@@ -9,7 +9,8 @@ Arrow or RDD anywhere, and nothing but the rules and a few numbers leaves the ex
 
 Features: lengths of URL, host and path, depth of path and host, share of digits,
 character entropy, parameters, hyphens, scheme, and how often the host's last label and
-last two labels were blocked in the training sample (smoothed, at most ``suffixes``).
+last two labels were blocked in the training sample (smoothed). While trees are trained, a URL's own
+fold of the sample is left out of these rates, so they tell as little of its label as an unseen one's.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, and no features;
 it is judged by the trees like any other. With no labelled URLs of both kinds the more
@@ -25,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, pick, written
+from .storage import discard, hash_sample, pick, written
 
 Rule = tuple[str, str, str]
 
@@ -97,23 +98,34 @@ def lexical(urls: DataFrame) -> DataFrame:
     return urls.withColumns({k: v.cast("double") for k, v in values.items()})
 
 
-def _suffix_rates(sample: DataFrame, labels: int, most: int, prior: float) -> dict[str, float]:
-    """Smoothed share of blocked URLs by the host's last labels, for the most frequent ones."""
-    rows = (
-        sample.groupBy(_last_labels(labels).alias("suffix"))
-        .agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
-        .orderBy(F.desc("n"), "suffix")
-        .limit(most)
-        .collect()
-    )
-    return {r["suffix"]: (r["blocked"] + 5 * prior) / (r["n"] + 5) for r in rows}
+def _smoothed(blocked: Column, n: Column, prior: float) -> Column:
+    return (blocked + 5 * prior) / (n + 5)
+
 
+def with_suffix_rates(sample: DataFrame, prior: float) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """sample with the rates of its hosts' suffixes, each row's from the other folds' rows alone; and the rates
+    by suffix of all rows, which unseen URLs get."""
+    rates = {}
+    for name, labels in SUFFIXES.items():
+        sample = sample.withColumn(f"of_{name}", _last_labels(labels))
+        by_fold = sample.groupBy(F.col(f"of_{name}").alias("suffix"), "fold").agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
+        whole = by_fold.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"))
+        others = by_fold.join(whole, "suffix").select(
+            F.col("suffix").alias(f"of_{name}"), "fold", _smoothed(F.col("all_blocked") - F.col("blocked"), F.col("all_n") - F.col("n"), prior).alias(name)
+        )
+        sample = sample.join(F.broadcast(others), [f"of_{name}", "fold"])  # no more rows than the sample
+        rates[name] = whole.select(F.col("suffix").alias(f"of_{name}"), _smoothed(F.col("all_blocked"), F.col("all_n"), prior).alias(name))
+    return sample, rates
 
-def _suffix_column(rates: dict[str, float], labels: int, prior: float) -> Column:
-    if not rates:
-        return F.lit(prior)
-    table = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])
-    return F.coalesce(table[_last_labels(labels)], F.lit(prior))
+
+def _rated(urls: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
+    for name, labels in SUFFIXES.items():
+        if name in rates:
+            urls = urls.withColumn(f"of_{name}", _last_labels(labels)).join(F.broadcast(rates[name]), f"of_{name}", "left")  # no more rows than the sample
+            urls = urls.withColumn(name, F.coalesce(name, F.lit(prior)))
+        else:
+            urls = urls.withColumn(name, F.lit(prior))
+    return urls
 
 
 class Tree:
@@ -148,7 +160,7 @@ def _bin(name: str, limits: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < F.col(name)))
 
 
-def fit(sample: DataFrame, trees: int = 6, depth: int = 3, rate: float = 0.5, bins: int = 24, ridge: float = 1.0) -> tuple[float, list[Tree]]:
+def fit(sample: DataFrame, trees: int = 16, depth: int = 3, rate: float = 0.3, bins: int = 24, ridge: float = 1.0) -> tuple[float, list[Tree]]:
     """sample: FEATURES and y (1 blocked). One aggregation for each level of each tree."""
     limits = _bins(sample, bins)
     counted = sample.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
@@ -164,7 +176,7 @@ def fit(sample: DataFrame, trees: int = 6, depth: int = 3, rate: float = 0.5, bi
         score = reduce(lambda a, t: a + t.value(), grown, F.lit(start))
         p = 1 / (1 + F.exp(-score))
         here = binned.withColumn("g", F.col("n") * (F.col("y") - p)).withColumn("h", F.col("n") * p * (1 - p))
-        for level in range(depth + 1):
+        for level in range(depth):
             cells = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"b_{f}").alias("b")) for i, f in enumerate(FEATURES))))
             sums = (
                 here.select(tree.node().alias("node"), "g", "h", cells.alias("cell"))
@@ -180,8 +192,11 @@ def fit(sample: DataFrame, trees: int = 6, depth: int = 3, rate: float = 0.5, bi
                     continue
                 g, h = (sum(v[i] for v in by_feature[0].values()) for i in (0, 1))
                 tree.leaves[node] = rate * g / (h + ridge)
-                if level < depth and (split := _best_split(by_feature, limits, g, h, ridge)):
-                    tree.splits[node] = split
+                if found := _best_split(by_feature, limits, g, h, ridge):
+                    tree.splits[node], (left_g, left_h) = found
+                    # children that are never split themselves need no sums of their own
+                    tree.leaves[2 * node] = rate * left_g / (left_h + ridge)
+                    tree.leaves[2 * node + 1] = rate * (g - left_g) / (h - left_h + ridge)
             if not any(node >> level == 1 for node in tree.splits):
                 break
         grown.append(tree)
@@ -189,7 +204,8 @@ def fit(sample: DataFrame, trees: int = 6, depth: int = 3, rate: float = 0.5, bi
     return start, grown
 
 
-def _best_split(by_feature, limits, g: float, h: float, ridge: float) -> tuple[str, float] | None:
+def _best_split(by_feature, limits, g: float, h: float, ridge: float) -> tuple[tuple[str, float], tuple[float, float]] | None:
+    """(feature, threshold) and the sums of what goes left; of equal gains the first feature's lowest threshold."""
     best, split = 1e-6, None
     for f, name in enumerate(FEATURES):
         left_g = left_h = 0.0
@@ -200,35 +216,45 @@ def _best_split(by_feature, limits, g: float, h: float, ridge: float) -> tuple[s
                 break
             gain = left_g**2 / (left_h + ridge) + (g - left_g) ** 2 / (h - left_h + ridge) - g**2 / (h + ridge)
             if min(left_h, h - left_h) > 1e-6 and gain > best:
-                best, split = gain, (name, limits[name][b])
+                best, split = gain, ((name, limits[name][b]), (left_g, left_h))
     return split
 
 
+class Model:
+    """Trees over lexical features and suffix rates; without both verdicts among its labels the more frequent one."""
+
+    def __init__(self, labelled: DataFrame, sample: int = 20000, folds: int = 4, trees: int = 16):
+        """labelled: url, host, path and y (1 blocked). About ``sample`` distinct URLs are learned from, those of the smallest hashes."""
+        chosen = hash_sample(labelled.select("url", "host", "path", "y"), ["url"], sample).groupBy("url", "host", "path", "y").agg(F.count("*").alias("copies"))
+        fold = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(folds)).cast("int")
+        chosen = written(lexical(chosen.withColumn("fold", fold)), "labelled-urls")
+        seen = chosen.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
+        n, blocked = seen["n"], seen["y"] or 0
+        self.prior = blocked / n if n else 0.0
+        self.rates: dict[str, DataFrame] = {}
+        self.chance = F.lit(1.0 if n and 2 * blocked > n else 0.0)
+        if 0 < blocked < n:
+            full, rates = with_suffix_rates(chosen, self.prior)
+            self.rates = {k: written(v, "suffix-rates") for k, v in rates.items()}
+            start, grown = fit(full, trees)
+            self.chance = 1 / (1 + F.exp(-reduce(lambda a, t: a + t.value(), grown, F.lit(start))))
+
+    def score(self, urls: DataFrame) -> DataFrame:
+        """Adds score, the chance of block, to urls with url, host and path."""
+        return _rated(lexical(urls), self.rates, self.prior).withColumn("score", self.chance)
+
+
 def judge(
     urls: DataFrame,
     id_col: str = "page_id",
     url_col: str = "url",
     rules: list[Rule] = RULES,
     sample: int = 20000,
-    suffixes: int = 200,
     threshold: float = 0.5,
 ) -> DataFrame:
     """Per row: page_id, host, path, rule (null where none fits), verdict and score (the trees' chance of block)."""
     rows = rule_columns(parts(pick(urls, page_id=id_col, url=url_col)), rules)
     labelled = rows.where("rule IS NOT NULL").withColumn("y", (F.col("rule_verdict") == "block").cast("int"))
-    chosen = labelled.select("url", "host", "path", "y").orderBy(F.xxhash64("url"), "url").limit(sample)
-    chosen = written(lexical(chosen), "labelled-urls")
-    seen = chosen.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
-    n, blocked = seen["n"], seen["y"] or 0
-    prior = blocked / n if n else 0.0
-    score = F.lit(1.0 if n and 2 * blocked > n else 0.0)
-    rates = {f: {} for f in SUFFIXES}
-    if 0 < blocked < n:
-        rates = {f: _suffix_rates(chosen, k, suffixes, prior) for f, k in SUFFIXES.items()}
-        full = chosen.withColumns({f: _suffix_column(rates[f], k, prior) for f, k in SUFFIXES.items()})
-        start, trees = fit(full)
-        score = 1 / (1 + F.exp(-reduce(lambda a, t: a + t.value(), trees, F.lit(start))))
-    scored = lexical(rows).withColumns({f: _suffix_column(rates[f], k, prior) for f, k in SUFFIXES.items()})
-    scored = scored.withColumn("score", score)
     method = F.when(F.col("score") > threshold, "block").otherwise("allow")
+    scored = Model(labelled, sample).score(rows)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "score")
