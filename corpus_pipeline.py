@@ -2,11 +2,15 @@
 
 Each stage takes the documents that its predecessor kept, as Parquet read again, and
 returns those that it keeps itself, in their columns; the last returns the packed pieces.
+
+In all stages a null text is empty, a document is its row: where an id is null or repeated, rows are told apart by a
+hash of id and text, and only rows equal in both share a fate. Very long texts are read whole, one at a time.
+Columns beside doc_id, text, lang, source and n_chars pass through, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.language_id import identify
@@ -14,7 +18,7 @@ from loomgraph.llm.minhash_neardup import near_duplicates
 from loomgraph.llm.packing import pack
 from loomgraph.llm.quality_rules import without_common_lines
 from loomgraph.llm.queries import vocabulary
-from loomgraph.llm.storage import table, written
+from loomgraph.llm.storage import row_key, table, written
 from loomgraph.llm.substring_dedup import remove_repeats
 
 #: A document is rejected when no language is as likely as this.
@@ -23,47 +27,59 @@ LANGUAGE_SCORE = 0.5
 FEW_TEXTS = 3
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in verdicts; rows without an id pass."""
-    # written first: the verdicts' Python code and the join of whole texts don't share an executor's memory
-    ids = written(verdicts.select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    # ids grow with the corpus: the same join at every size
-    known = docs.where("doc_id IS NOT NULL").join(ids.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return known.unionByName(docs.where("doc_id IS NULL"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, key, text, lang): whole rows in one column, so that no name of theirs can clash, and what tells them apart."""
+    key = row_key(docs, "doc_id", "text")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), F.col("text"), F.col("lang"))
+
+
+def _joined(rows: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
+    """rows joined with verdicts(v_key, ...); written first: their Python code and whole texts don't share an executor's memory."""
+    # verdicts grow with the corpus: the same join at every size
+    return rows.join(written(verdicts, "verdicts").hint("merge"), F.col("key") == F.col("v_key"), how)
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no likely language, go."""
-    return _keep(docs, identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)))
+    """Documents without letters, or of no likely language, go. Ties between languages: see identify."""
+    rows = _keyed(docs)
+    found = identify(rows, id_col="key").where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE))
+    return _unpacked(_joined(rows, found.select(F.col("doc_id").alias("v_key")).distinct(), "left_semi"), docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the counts or are depleted go; common lines leave the others' texts."""
-    out = without_common_lines(docs, line_limit=FEW_TEXTS)
-    columns = {"n_chars": F.when(F.col("n_line_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """Documents that fail the counts or are depleted go; common lines leave the others' texts, but for the
+    document of the smallest id of a host that holds them."""
+    added = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there
+    out = without_common_lines(docs, line_limit=FEW_TEXTS, added=added)
+    columns = {"n_chars": F.when(F.col(added) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays; of rows that repeat it, one."""
-    kept = _keep(docs, near_duplicates(docs).where("kept"))
-    copies = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single = kept.join(copies, "doc_id", "left_anti")
-    return single.unionByName(kept.join(copies, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    """The document of the smallest id of each group stays; of rows equal in id and text, one."""
+    rows = _keyed(docs)
+    found = near_duplicates(rows, id_col="key").where("kept").select(F.col("doc_id").alias("v_key")).distinct()
+    kept = _joined(rows, found, "left_semi")
+    # rows below the first hashed key are alone with theirs
+    several = kept.where(F.col("key") >= 1 << 62).dropDuplicates(["key"])
+    return _unpacked(kept.where(F.col("key") < 1 << 62).unionByName(several), docs.columns)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated spans leave the texts; a document of which nothing is left goes."""
-    cut = remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
-    cut = written(cut, "cut-texts")
-    out = docs.join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    text = F.coalesce("kept_text", "text")
-    columns = {"text": text, "n_chars": F.when(F.col("cut_id").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    out = out.where("cut_id IS NULL OR kept_text != ''")
-    return out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """Repeated spans leave the texts, but where they stand first by id; a document of which nothing is left goes."""
+    rows = _keyed(docs)
+    cut = remove_repeats(rows, id_col="key").where("n_removed > 0").select(F.col("doc_id").alias("v_key"), F.col("kept_text").alias("v_text"))
+    out = _joined(rows, cut.dropDuplicates(["v_key"]), "left").where("v_key IS NULL OR v_text != ''")
+    length = F.when(F.col("v_key").isNotNull(), F.length("v_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return _unpacked(out, docs.columns, text=F.coalesce("v_text", "text"), n_chars=length)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per piece: its document, ids and place in a sequence. Rows are packed one by one, whatever their ids."""
     return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
