@@ -60,3 +60,32 @@ def test_common_lines_go_from_small_hosts(spark, tmp_path):
     got = sorted(map(tuple, corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()))
     want = [rows[0]] + [(i, t, "aa", "src0", len(t)) for i, t in enumerate(texts) if i]
     assert got == want
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Null and repeated ids, and columns that are named like those inside: each stage keeps what it should."""
+    r = random.Random(9)
+    text = lambda: " ".join(r.choice(VOCAB["aa"]) for _ in range(60))
+    texts = [text() for _ in range(30)]
+    rows = [(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [(None, texts[3], "aa", "s", 0), (None, text(), None, None, 0), (None, None, "aa", "s", 0), (40, text(), "aa", "s", 0), (40, text(), "aa", "s", 0)]
+    rows += [(41, texts[4], "aa", None, 0), (50, "x y", "aa", "s", 0)] + [(42, t, "aa", "s", 0) for t in [text()] * 3]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*x, 1, "k", 2.0, "t", 5) for x in rows], names + ", key long, row string, v_key double, kept_text string, n_line_words int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == docs.where("key = 1 AND row = 'k' AND v_key = 2.0 AND kept_text = 't' AND n_line_words = 5").count()
+        seen[name] = [(x.doc_id, x.text) for x in docs.collect()]
+    assert sorted(seen["language"], key=str) == sorted(((i, t) for i, t, *_ in rows if t), key=str)
+    assert sorted(seen["quality"], key=str) == sorted(((i, t) for i, t, *_ in rows if t and i != 50), key=str)
+    want = [(i, t) for i, t, *_ in rows[:30]] + [rows[31][:2], rows[33][:2], rows[34][:2], rows[-1][:2]]
+    assert sorted(seen["near_duplicate"], key=str) == sorted(want, key=str)
+    assert sorted(seen["substring"], key=str) == sorted(want, key=str)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
