@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bytes up to which an asset is put inline, and extensions in the order they are tried.
 INLINE_BYTES = 8096
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".json"]
 
@@ -25,10 +26,8 @@ def normalize_path(path: Column) -> Column:
             .otherwise(F.array_append(acc, part))
         )
 
-    empty = F.array().cast("array<string>")
     # element_at fails on empty arrays in ANSI mode, so a mark stands below all components
     parts = F.aggregate(F.split(path, "/"), F.array(F.lit("..")), step)
-    del empty
     return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.slice(parts, 2, 1 << 20), "/"))
 
 
@@ -80,6 +79,12 @@ def glob_regex(pattern: str) -> str:
     return "^(?:\\./)?" + "".join(known.get(p, re.escape(p)) for p in parts) + r"\z"
 
 
-def free_suffix(taken: Column, prefix: str, most: int = 10000) -> Column:
-    """The least n for which prefix + n is not in an array."""
-    return F.array_min(F.filter(F.sequence(F.lit(0), F.least(F.size(taken), F.lit(most))), lambda n: ~F.array_contains(taken, F.concat(F.lit(prefix), n.cast("string")))))
+def free_suffix(taken: Column, prefix: str) -> Column:
+    """The least n for which prefix + n is not in an array: at most as many are taken as the array holds."""
+    return F.array_min(F.array_except(F.sequence(F.lit(0), F.size(taken)), _numbers(taken, prefix)))
+
+
+def _numbers(taken: Column, prefix: str) -> Column:
+    """The numbers behind the prefix, as they would be written."""
+    behind = F.transform(F.filter(taken, lambda x: F.startswith(x, F.lit(prefix))), lambda x: F.substring(x, len(prefix) + 1, 1 << 30))
+    return F.transform(F.filter(behind, lambda x: x.rlike(r"^(0|[1-9][0-9]{0,8})\z")), lambda x: x.cast("int"))

@@ -33,6 +33,7 @@ def used_exports(provided: DataFrame, known: DataFrame, edges: DataFrame, entrie
     name on as their id; stars pass on everything, or each used name but default that the
     target may provide. Sets only grow, so any order of evaluation gives the same result.
     """
+    edges = settle(edges.select("src", "dst", "kind", "name", "id"))
     ids = entries.select("module")
     seeds = (
         ids.join(known, "module", "left_anti").select("module", F.lit(ALL).alias("name"))
@@ -42,8 +43,9 @@ def used_exports(provided: DataFrame, known: DataFrame, edges: DataFrame, entrie
     )
     named = settle(edges.where("kind = 'reexp'").select("src", "dst", F.col("name").alias("given"), "id"))
     stars = settle(edges.where("kind = 'star'").select("src", "dst"))
-    may = provided.select(F.col("module").alias("dst"), "name")
-    bounded = known.select(F.col("module").alias("dst"), F.lit(True).alias("bounded"))
+    # read in every round, so computed once
+    may = settle(provided.select(F.col("module").alias("dst"), "name").join(stars.select("dst").distinct(), "dst", "left_semi"))
+    bounded = settle(known.select(F.col("module").alias("dst"), F.lit(True).alias("bounded")).join(stars.select("dst").distinct(), "dst", "left_semi"))
 
     def step(new: DataFrame) -> DataFrame:
         by_name = new.join(named, (new["module"] == named["src"]) & new["name"].isin(ALL) | (new["module"] == named["src"]) & (new["name"] == named["given"]))
@@ -76,6 +78,7 @@ def resolve_reexports(asked: DataFrame, edges: DataFrame, pure: DataFrame, max_r
     only star. Chains that come back to a module they passed are dropped.
     """
     pure = pure.select(F.col("module").alias("at"))
+    edges = settle(edges.where("kind IN ('reexp', 'star')").select("src", "dst", "kind", "name", "id"))
     named = edges.where("kind = 'reexp'").groupBy(F.col("src").alias("at"), F.col("name").alias("as_name")).agg(
         F.count("*").alias("n"), F.min("dst").alias("named_next"), F.min("id").alias("named_id"))
     named = settle(named.where("n = 1").drop("n").join(pure, "at", "left_semi"))
@@ -94,6 +97,8 @@ def resolve_reexports(asked: DataFrame, edges: DataFrame, pure: DataFrame, max_r
             "module", "name", F.col("next").alias("at"), F.col("next_name").alias("as_name"), F.array_append("seen", F.col("next")).alias("seen"))
         if state.isEmpty():
             break
+    else:
+        raise RuntimeError(f"re-exports not settled after {max_rounds} rounds")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -134,3 +139,15 @@ def edge_activity(edges: DataFrame, used: DataFrame, pure: DataFrame) -> DataFra
         .otherwise(True)
     )
     return out.select("src", "dst", "kind", "name", "id", active.alias("active"))
+
+
+def used_names(asked: DataFrame, used: DataFrame, analysed: bool = True) -> DataFrame:
+    """(module, name, used_name): the name where it is used, null where not; without usage analysis all names are.
+
+    asked: (module, name), used: (module, all_used, names) of :func:`used_exports`.
+    """
+    if not analysed:
+        return asked.select("module", "name", F.col("name").alias("used_name"))
+    out = asked.select("module", "name").join(used, "module", "left")
+    there = F.coalesce(F.col("all_used") | F.array_contains(F.split("names", ","), F.col("name")), F.lit(False))
+    return out.select("module", "name", F.when(there, F.col("name")).alias("used_name"))

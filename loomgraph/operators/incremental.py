@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import drop, settle
+
 DAY_S = 86400
 #: Fixed values of the retention rules: bytes and percent.
 SMALL_PACK, LEAST_WASTE, TARGET_PACK, WASTE_PERCENT = 256 << 10, 128 << 10, 4 << 20, 25
@@ -39,21 +41,36 @@ def still_missing(missing: DataFrame, listing: DataFrame) -> DataFrame:
     return missing.select("path").join(listing.select("path"), "path", "left_anti")
 
 
-def directory_digests(files: DataFrame, levels: int = 32) -> DataFrame:
-    """(path, digest) of each directory over files(path, hash): its children's names and digests in order, bottom up."""
-    nodes = files.select("path", F.col("hash").alias("digest"))
-    out = None
+def directory_digests(files: DataFrame) -> DataFrame:
+    """(path, digest) of each directory over files(path, hash): its children's names and digests in order, bottom up.
+
+    A directory's digest is the hash of its own lines ``name:digest``, sorted. Each level is written once and read
+    by the next one above, so a tree costs as many steps as it is deep, however deep.
+    """
     depth = F.size(F.split("path", "/"))
-    deepest = nodes.agg(F.max(depth)).first()[0] or 0
-    for level in range(min(deepest, levels), 1, -1):
-        here = nodes.where(depth == level)
-        parent = F.regexp_replace("path", "/[^/]*$", "")
-        name = F.element_at(F.split("path", "/"), -1)
-        above = here.groupBy(parent.alias("path")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "digest"))).alias("c"))
-        above = above.select("path", F.sha2(F.to_json("c"), 256).alias("digest"))
-        out = above if out is None else out.unionByName(above)
-        nodes = nodes.where(depth < level).unionByName(above)
-    return out if out is not None else nodes.limit(0)
+    nodes = settle(files.select("path", F.col("hash").alias("digest"), depth.alias("depth")))
+    parent, name = F.regexp_replace("path", "/[^/]*$", ""), F.element_at(F.split("path", "/"), -1)
+    line = F.concat(name, F.lit(":"), F.coalesce("digest", F.lit("")))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    levels: list[DataFrame] = []
+    below = nodes.limit(0).drop("depth")
+    for level in range(deepest, 1, -1):
+        here = nodes.where(F.col("depth") == level).drop("depth").unionByName(below)
+        above = here.groupBy(parent.alias("path")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+        below = settle(above.select("path", F.sha2(F.array_join("lines", "\n"), 256).alias("digest")))
+        levels.append(below)
+        if len(levels) > 16:  # one table for many levels: the last plan stays small
+            together = settle(_union(levels[:-1]))
+            drop(*levels[:-1])
+            levels = [together, below]
+    return _union(levels) if levels else below
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def change_hits(paths: DataFrame, changes: DataFrame) -> DataFrame:
@@ -165,3 +182,32 @@ def flush_times(builds: DataFrame) -> DataFrame:
     """(cache, flush_ms): when each cache is due, by the earliest of its builds(cache, kind, end_ms)."""
     delay = F.create_map(*[F.lit(x) for kv in FLUSH_MS.items() for x in kv])
     return builds.groupBy("cache").agg(F.min(F.col("end_ms") + delay[F.col("kind")]).alias("flush_ms"))
+
+
+def stored(layers: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """Each layer(key, etag, payload) with the new entries in place of those of their keys: a write goes through all."""
+    rows = new.select("key", "etag", "payload")
+    return [layer.select("key", "etag", "payload").join(rows.select("key"), "key", "left_anti").unionByName(rows) for layer in layers]
+
+
+def invalid_managed(snapshot: DataFrame, packages: DataFrame) -> DataFrame:
+    """(root) of snapshot(root, name, version) whose package is gone or another one now; other files below it aren't looked at."""
+    s, now = snapshot.alias("s"), packages.alias("n")
+    differs = F.expr("n.root IS NULL OR NOT (s.name <=> n.name AND s.version <=> n.version)")
+    return s.join(now, F.expr("s.root = n.root"), "left").where(differs).select("s.root")
+
+
+def module_hashes(modules: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(module, hash): equal if and only if identity, source hash, error, used names, own id and the ids of all targets in
+    the order of their edges are. modules: (module, identity, source_hash, error, used), edges: (src, seq, dst), ids: (module, id)."""
+    targets = edges.join(ids.select(F.col("module").alias("dst"), F.col("id").alias("target")), "dst", "left")
+    targets = targets.groupBy(F.col("src").alias("module")).agg(F.array_sort(F.collect_list(F.struct("seq", "target"))).alias("targets"))
+    out = modules.join(ids.select("module", "id"), "module", "left").join(targets, "module", "left")
+    return out.select("module", signature(*(F.col(c) for c in ("identity", "source_hash", "error", "used", "id", "targets"))).alias("hash"))
+
+
+def asset_etags(members: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(chunk, etag) over the hashes of a chunk's modules, in the order of the modules."""
+    rows = members.select("chunk", "module").distinct().join(hashes, "module")
+    listed = F.array_sort(F.collect_list(F.struct("module", "hash")))
+    return rows.groupBy("chunk").agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["hash"]), ","), 256).alias("etag"))

@@ -66,3 +66,32 @@ def references(modules: DataFrame, ids: DataFrame, connections: DataFrame, membe
     to = named.groupBy(F.col("origin").alias("module")).agg(F.array_sort(F.collect_list(F.struct("conn_id", "target"))).alias("t"))
     to = to.select("module", F.concat_ws(",", F.transform("t", lambda x: x["target"])).alias("targets"))
     return modules.select("module").join(ids, "module", "left").join(module_chunks(members).select("module", "chunks"), "module", "left").join(to, "module", "left")
+
+
+def chunk_modules(members: DataFrame) -> DataFrame:
+    """(chunk, n, modules): a chunk's modules in order, joined by a comma."""
+    joined = F.concat_ws(",", F.array_sort(F.collect_set(F.col("module").cast("string"))))
+    return members.groupBy("chunk").agg(F.count_distinct("module").alias("n"), joined.alias("modules"))
+
+
+def ordered_modules(members: DataFrame, facts: DataFrame, order: list) -> DataFrame:
+    """(chunk, module, place): each chunk's modules, from 0, by sort keys over facts(module, ...); the module breaks ties."""
+    place = Window.partitionBy("chunk").orderBy(*order, "module")
+    return members.select("chunk", "module").distinct().join(facts, "module").select("chunk", "module", (F.row_number().over(place) - 1).alias("place"))
+
+
+def entry_modules(members: DataFrame, entries: DataFrame) -> DataFrame:
+    """(chunk, module) of members that are entries(module)."""
+    return members.select("chunk", "module").distinct().join(entries.select("module"), "module", "left_semi").select("chunk", "module")
+
+
+def module_id(modules: DataFrame, ids: DataFrame) -> DataFrame:
+    """(module, id) of modules(module); null where a module has none."""
+    return modules.select("module").join(ids.select("module", "id"), "module", "left")
+
+
+def same_paths(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(owner, same): whether both tables of (owner, path) hold the same paths of an owner."""
+    both = one.select("owner", "path", F.lit(1).alias("side")).union(two.select("owner", "path", F.lit(2).alias("side")))
+    sides = both.groupBy("owner", "path").agg(F.count_distinct("side").alias("n"))
+    return sides.groupBy("owner").agg((F.min("n") == 2).alias("same"))

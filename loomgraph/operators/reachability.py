@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import fixpoint, reach
+from ..plans.fixpoint import drop, fixpoint, reach, rows, settle
 
 
 def static_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -49,5 +49,16 @@ def affected(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
 
 def waits_in_cycle(waits: DataFrame) -> DataFrame:
     """(node): those that wait, directly or not, for themselves. waits: (src, dst), one dst at most for a src."""
-    found = reach(waits, waits.select(F.col("src").alias("root"), F.col("dst").alias("node")))
-    return found.where("root = node").select("node").distinct()
+    # every node has one way on, so each round halves what is left of it: the end of 2, 4, 8 ... steps from all nodes at once
+    hop = settle(waits.select("src", "dst").distinct())
+    far, steps, n = hop, 1, rows(hop)
+    while steps < n:
+        ahead = far.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
+        after = settle(far.join(ahead, far["dst"] == ahead["mid"]).select("src", F.col("end").alias("dst")))
+        if far is not hop:
+            drop(far)
+        far, steps = after, 2 * steps
+        if not rows(far):
+            break
+    # after as many steps as there are nodes, one is on a cycle, and every node of the cycle is some node's end
+    return far.select(F.col("dst").alias("node")).distinct()

@@ -12,25 +12,42 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary one only where all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` as a written table: evaluated once, no lineage."""
+    """``df`` as a written table: evaluated once, no lineage. :func:`rows` tells how many rows were written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fix-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path, out._loom_rows = path, seen.get["n"]
+    return out
+
+
+def rows(settled: DataFrame) -> int:
+    return settled._loom_rows
+
+
+def drop(*settled: DataFrame | None) -> None:
+    """Delete settled tables that no later plan reads."""
+    for df in settled:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._loom_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
@@ -48,11 +65,14 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
             known = known.unionByName(p)
         found = step(frontier).select(seed.columns).dropDuplicates(keys)
         frontier = settle(found.join(known.select(keys), keys, "left_anti"))
-        if frontier.isEmpty():
+        if not rows(frontier):
+            drop(frontier)
             return known
         parts.append(frontier)
         if len(parts) > 12:
-            parts = [settle(known.unionByName(frontier))]
+            whole = settle(known.unionByName(frontier))
+            drop(*parts[:-1])  # the frontier is read once more
+            parts = [whole]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

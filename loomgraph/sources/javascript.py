@@ -341,9 +341,13 @@ def dependencies(modules: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            rows: list[dict] = []
             for module, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [{"module_id": module, "dep_index": i, **r} for i, r in enumerate(extract(source))]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows += [{"module_id": module, "dep_index": i, **r} for i, r in enumerate(extract(source))]
+                if len(rows) >= 5000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return modules.select("module_id", "source").mapInArrow(run, SCHEMA)
 
@@ -358,7 +362,7 @@ def module_facts(modules: DataFrame) -> DataFrame:
     def facts(source: str | None) -> dict:
         try:
             return Extraction(source or "").facts()
-        except (SyntaxError, StopIteration, IndexError):
+        except (SyntaxError, StopIteration, IndexError, RecursionError):
             return {}
 
     def run(batches):

@@ -75,3 +75,22 @@ def latest_kind(changes: DataFrame) -> DataFrame:
     """(path, kind): the last change of each path."""
     order = Window.partitionBy("path").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     return changes.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("path", "kind")
+
+
+def builds(changes: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, full, n): runs(run, manual) with how many changes(run, path) they answer; the first run, one asked for by hand
+    and one without changes build everything."""
+    seen = changes.groupBy("run").agg(F.count_distinct("path").alias("n"))
+    first = runs.agg(F.min("run").alias("first"))
+    out = runs.join(seen, "run", "left").join(F.broadcast(first))  # one row
+    full = (F.col("run") == F.col("first")) | F.coalesce("manual", F.lit(False)) | F.col("n").isNull()
+    return out.select("run", full.alias("full"), F.when(full, 0).otherwise(F.col("n")).cast("long").alias("n"))
+
+
+#: Log levels by rank, the most important first.
+LEVELS = ["none", "error", "warn", "info", "log", "verbose"]
+
+
+def logged(events: DataFrame, level: str = "none") -> DataFrame:
+    """events(level, ...) up to the configured level; none by default."""
+    return events.where(F.col("level").isin(*LEVELS[1 : LEVELS.index(level) + 1]))
