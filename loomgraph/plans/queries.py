@@ -14,6 +14,8 @@ from ..functions import hashing, text
 from ..operators import chunks, exports, incremental, lookups, naming, reachability, render
 from ..sources import files
 from ..streaming import watch
+from .build import build
+from .fixpoint import settle
 from .views import duckdb_sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,10 +73,10 @@ _CONN = """(SELECT l_orderkey * 100 + l_linenumber AS conn_id, CASE WHEN l_lines
 
 
 @query("""
-WITH RECURSIVE r AS (
-  SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_size = 1
-  UNION SELECT dst, depth + 1 FROM r JOIN part_edges ON src = node WHERE dyn = 0 AND depth < 12
-) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
+WITH RECURSIVE r(node, depth) USING KEY (node) AS (
+  SELECT p_partkey, 0 FROM part WHERE p_size = 1
+  UNION SELECT dst, min(depth) + 1 FROM r JOIN part_edges ON src = node WHERE dyn = 0 AND dst NOT IN (SELECT node FROM recurring.r) GROUP BY dst
+) SELECT node, CAST(depth AS INTEGER) AS depth FROM r""")
 def static_reachability(spark, d):
     edges = view(spark, d, "part_edges").where("dyn = 0")
     return reachability.reachable(edges, _entries(spark, d).select(F.col("module").alias("node")))
@@ -143,17 +145,17 @@ def transitive_purity(spark, d):
 
 
 _CHASE = """pure AS (SELECT p_partkey AS module FROM part WHERE p_size <= 40),
-named AS (SELECT src AS at, name, min(dst) AS nxt, min(id) AS id FROM export_edges JOIN pure ON module = src WHERE kind = 'reexp' GROUP BY src, name HAVING count(*) = 1),
+by_name AS (SELECT src AS at, name, min(dst) AS nxt, min(id) AS id FROM export_edges JOIN pure ON module = src WHERE kind = 'reexp' GROUP BY src, name HAVING count(*) = 1),
 stars AS (SELECT src AS at, min(dst) AS nxt FROM export_edges JOIN pure ON module = src WHERE kind = 'star' GROUP BY src HAVING count(*) = 1),
 c AS (
   SELECT module, name, module AS at, name AS as_name, [module] AS seen FROM (SELECT DISTINCT dst AS module, id AS name FROM export_edges)
   UNION ALL
   SELECT c.module, c.name, coalesce(n.nxt, s.nxt), coalesce(n.id, c.as_name), list_append(seen, coalesce(n.nxt, s.nxt))
-  FROM c LEFT JOIN named n ON n.at = c.at AND n.name = c.as_name LEFT JOIN stars s ON s.at = c.at AND c.as_name <> 'default'
+  FROM c LEFT JOIN by_name n ON n.at = c.at AND n.name = c.as_name LEFT JOIN stars s ON s.at = c.at AND c.as_name <> 'default'
   WHERE coalesce(n.nxt, s.nxt) IS NOT NULL AND NOT list_contains(seen, coalesce(n.nxt, s.nxt))
 ), resolved AS (
   SELECT c.module, c.name, c.at AS final_module, c.as_name AS final_name
-  FROM c LEFT JOIN named n ON n.at = c.at AND n.name = c.as_name LEFT JOIN stars s ON s.at = c.at AND c.as_name <> 'default'
+  FROM c LEFT JOIN by_name n ON n.at = c.at AND n.name = c.as_name LEFT JOIN stars s ON s.at = c.at AND c.as_name <> 'default'
   WHERE coalesce(n.nxt, s.nxt) IS NULL AND len(seen) > 1
 )"""
 
@@ -178,18 +180,28 @@ def edge_rewrite(spark, d):
     return exports.rewrite_edges(view(spark, d, "export_edges"), _resolved(spark, d))
 
 
+_MOVED = """single AS (SELECT src, dst FROM export_edges WHERE kind = 'imp' GROUP BY src, dst HAVING count(DISTINCT id) = 1),
+e AS (
+  SELECT src, CASE WHEN m THEN final_module ELSE dst END AS dst, CASE WHEN kind = 'dyn' THEN 'side' ELSE kind END AS kind, name, CASE WHEN m THEN final_name ELSE id END AS id
+  FROM (SELECT x.*, final_module, final_name, final_module IS NOT NULL AND (kind = 'reexp' OR (kind = 'imp' AND s.src IS NOT NULL)) AS m
+    FROM export_edges x LEFT JOIN resolved r ON r.module = x.dst AND r.name = x.id LEFT JOIN single s ON s.src = x.src AND s.dst = x.dst)
+)"""
+
+
 @query(f"""
-WITH RECURSIVE {_USED}, e AS (SELECT src, dst, CASE WHEN kind = 'dyn' THEN 'side' ELSE kind END AS kind, name, id FROM export_edges)
+WITH RECURSIVE {_USED}, {_CHASE}, {_MOVED}
 SELECT e.src, e.dst, e.kind, e.name, e.id, CASE
   WHEN kind = 'side' THEN p_size > 40 OR EXISTS (SELECT 1 FROM e i WHERE i.kind = 'imp' AND i.src = e.src AND i.dst = e.dst)
   WHEN kind = 'reexp' THEN coalesce(s.all_used OR list_contains(string_split(s.names, ','), e.name), FALSE)
   WHEN kind = 'star' THEN t.module IS NOT NULL ELSE TRUE END AS active
 FROM e JOIN part ON p_partkey = e.dst LEFT JOIN used s ON s.module = e.src LEFT JOIN used t ON t.module = e.dst""")
 def edge_activity(spark, d):
-    edges = view(spark, d, "export_edges")
+    """On the graph after the rewrite; usage was decided on the one before."""
+    edges = settle(view(spark, d, "export_edges"))
     used = exports.used_exports(_provided(spark, d), _known(spark, d), edges, _entries(spark, d))
     pure = table(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("module"))
-    side = edges.withColumn("kind", F.when(F.col("kind") == "dyn", "side").otherwise(F.col("kind")))
+    moved = exports.rewrite_edges(edges, _resolved(spark, d)).select("src", F.col("module").alias("dst"), "kind", "name", "id")
+    side = moved.withColumn("kind", F.when(F.col("kind") == "dyn", "side").otherwise(F.col("kind")))
     return exports.edge_activity(side, used, pure)
 
 
@@ -252,10 +264,10 @@ def requirement_tree(spark, d):
 
 
 @query("""
-WITH RECURSIVE r AS (
-  SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_retailprice > 0 AND p_size = 7
-  UNION SELECT src, depth + 1 FROM r JOIN part_edges ON dst = node WHERE depth < 12
-) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
+WITH RECURSIVE r(node, depth) USING KEY (node) AS (
+  SELECT p_partkey, 0 FROM part WHERE p_retailprice > 0 AND p_size = 7
+  UNION SELECT src, min(depth) + 1 FROM r JOIN part_edges ON dst = node WHERE src NOT IN (SELECT node FROM recurring.r) GROUP BY src
+) SELECT node, CAST(depth AS INTEGER) AS depth FROM r""")
 def affected_closure(spark, d):
     old = _parts(spark, d, F.col("p_size").alias("signature"))
     new = old.withColumn("signature", F.when(F.col("signature") == 7, 70).otherwise(F.col("signature")))
@@ -306,7 +318,18 @@ def unnamed_ids(spark, d):
     return naming.named_ids(part).where("number IS NOT NULL").select("item", "number")
 
 
-@query()
+def _fnv_sql(text: str) -> str:
+    """The FNV-1a hash of ASCII text and the end mark, as 16 hex digits."""
+    step = "lambda s, b: CAST((CAST(xor(s, b) AS UHUGEINT) * 1099511628211) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+    codes = f"list_append(list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS UBIGINT)), CAST(255 AS UBIGINT))"
+    return f"lpad(lower(to_hex(list_reduce(list_prepend(CAST(14695981039346656037 AS UBIGINT), {codes}), {step}))), 16, '0')"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS item, p_name AS short, concat(p_name, '|', p_type) AS "full", count(*) OVER (PARTITION BY p_name) AS n FROM part),
+b AS (SELECT *, CASE WHEN n = 1 THEN short ELSE concat(short, '-', substr({_fnv_sql('"full"')}, 11, 6)) END AS base FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY base <> short, short, "full", item) - 2 AS k FROM b)
+SELECT item, CASE WHEN k < 0 THEN base ELSE concat(base, '-', CAST(k AS VARCHAR)) END AS id, CAST(NULL AS BIGINT) AS number FROM r""")
 def named_ids(spark, d):
     return naming.named_ids(table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("short"), F.concat("p_name", F.lit("|"), "p_type").alias("full")))
 
@@ -483,7 +506,12 @@ def identifiers(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("module"), text.sanitize_identifier(F.col("p_name")).alias("ident"), text.property_access(F.col("p_name")).alias("access"))
 
 
-@query()
+@query(f"""
+WITH e AS (SELECT origin, '{{"block_index":' || coalesce(CAST(block_index AS VARCHAR), 'null') || ',"dep_index":' || dep_index || ',"dst":' || module || '}}' AS j,
+  block_index, dep_index, module FROM {_CONN} WHERE origin IS NOT NULL),
+l AS (SELECT origin, '[' || string_agg(j, ',' ORDER BY block_index NULLS FIRST, dep_index, module) || ']' AS j FROM e GROUP BY origin)
+SELECT o_orderkey AS module, sha256('{{"source_hash":"' || sha256(o_orderpriority) || '","error":null,"edges":' || coalesce(j, 'null') || '}}') AS signature
+FROM orders LEFT JOIN l ON origin = o_orderkey""")
 def module_signatures(spark, d):
     edges = _connections(spark, d).select(F.col("origin").alias("src"), "block_index", "dep_index", F.col("module").alias("dst")).where("src IS NOT NULL")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("module"), F.sha2(F.col("o_orderpriority"), 256).alias("source_hash"), F.lit(None).cast("string").alias("error"))
@@ -498,7 +526,12 @@ def concat_sets(spark, d):
     return chunks.concatenation_sets(modules, edges, nodes.select(F.lit("main").alias("chunk"), "module"), nodes.where("module = 's1'"))
 
 
-@query()
+@query("""
+WITH f AS (SELECT path, CAST(arg_max(value, event_id) AS VARCHAR) AS digest FROM file_events GROUP BY path),
+l3 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, sha256(string_agg(regexp_extract(path, '[^/]*$') || ':' || digest, chr(10) ORDER BY regexp_extract(path, '[^/]*$') || ':' || digest)) AS digest FROM f GROUP BY 1),
+l2 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, sha256(string_agg(regexp_extract(path, '[^/]*$') || ':' || digest, chr(10) ORDER BY regexp_extract(path, '[^/]*$') || ':' || digest)) AS digest FROM l3 GROUP BY 1),
+l1 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, sha256(string_agg(regexp_extract(path, '[^/]*$') || ':' || digest, chr(10) ORDER BY regexp_extract(path, '[^/]*$') || ':' || digest)) AS digest FROM l2 GROUP BY 1)
+SELECT * FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1""")
 def directory_digests(spark, d):
     e = view(spark, d, "file_events").select("path", F.col("event_id").alias("seq"), F.col("value").cast("string").alias("hash"))
     return incremental.directory_digests(incremental.merge_snapshots(e))
@@ -561,3 +594,242 @@ def flush_schedule(spark, d):
     kind = F.when(F.col("event_type") == "signup", "initial").when(F.col("event_type") == "error", "large").otherwise("ordinary")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return incremental.flush_times(table(spark, d, "events").select(F.col("user_id").alias("cache"), kind.alias("kind"), ms.alias("end_ms")))
+
+
+_MEMBERS = "(SELECT DISTINCT l_suppkey AS chunk, l_partkey AS module FROM lineitem)"
+
+
+def _members(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("chunk"), F.col("l_partkey").alias("module")).distinct()
+
+
+@query(f"SELECT conn_id, origin, module FROM {_CONN} WHERE origin IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def outgoing_edges(spark, d):
+    m = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("module"))
+    return lookups.outgoing(_connections(spark, d), m).select("conn_id", "origin", "module")
+
+
+@query(f"SELECT conn_id, origin, module FROM {_CONN} WHERE module IN (SELECT p_partkey FROM part WHERE p_size = 1)")
+def incoming_edges(spark, d):
+    return lookups.incoming(_connections(spark, d), _entries(spark, d)).select("conn_id", "origin", "module")
+
+
+@query(f"SELECT origin, module, count(*) AS n FROM {_CONN} GROUP BY origin, module")
+def group_outgoing(spark, d):
+    return lookups.group_outgoing(_connections(spark, d))
+
+
+@query(f"SELECT conn_id, module AS resolved_module, module FROM {_CONN}")
+def edge_targets(spark, d):
+    return lookups.targets(_connections(spark, d))
+
+
+@query(f"SELECT chunk, count(*) AS n, string_agg(CAST(module AS VARCHAR), ',' ORDER BY CAST(module AS VARCHAR)) AS modules FROM {_MEMBERS} GROUP BY chunk")
+def chunk_modules(spark, d):
+    return lookups.chunk_modules(_members(spark, d))
+
+
+@query(f"""SELECT chunk, module, CAST(row_number() OVER (PARTITION BY chunk ORDER BY p_size DESC, p_name, module) - 1 AS INTEGER) AS place
+FROM {_MEMBERS} JOIN part ON p_partkey = module""")
+def ordered_chunk_modules(spark, d):
+    return lookups.ordered_modules(_members(spark, d), _parts(spark, d, "p_size", "p_name"), [F.desc("p_size"), "p_name"])
+
+
+@query(f"SELECT chunk, module FROM {_MEMBERS} WHERE module IN (SELECT p_partkey FROM part WHERE p_size = 1)")
+def chunk_entry_modules(spark, d):
+    return lookups.entry_modules(_members(spark, d), _entries(spark, d))
+
+
+@query("SELECT p_partkey AS module, CASE WHEN p_size > 25 THEN p_name END AS id FROM part")
+def module_id_lookup(spark, d):
+    return lookups.module_id(_parts(spark, d), table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("module"), F.col("p_name").alias("id")))
+
+
+@query(f"""
+WITH t AS (SELECT origin AS module, string_agg(p_name, ',' ORDER BY conn_id, p_name) AS targets FROM {_CONN} JOIN part ON p_partkey = module WHERE origin IS NOT NULL GROUP BY origin),
+c AS (SELECT module, string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY CAST(chunk AS VARCHAR)) AS chunks FROM {_MEMBERS} GROUP BY module)
+SELECT p_partkey AS module, p_name AS id, chunks, targets FROM part LEFT JOIN c ON c.module = p_partkey LEFT JOIN t ON t.module = p_partkey""")
+def module_references(spark, d):
+    ids = _parts(spark, d, F.col("p_name").alias("id"))
+    return lookups.references(ids, ids, _connections(spark, d), _members(spark, d).withColumn("chunk", F.col("chunk").cast("string")))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT user_id AS owner, path FROM file_events WHERE kind <> 'removed'), b AS (SELECT DISTINCT user_id AS owner, path FROM file_events WHERE kind <> 'context')
+SELECT coalesce(a.owner, b.owner) AS owner, bool_and(a.path IS NOT NULL AND b.path IS NOT NULL) AS same FROM a FULL JOIN b ON a.owner = b.owner AND a.path = b.path GROUP BY 1""")
+def same_paths(spark, d):
+    e = view(spark, d, "file_events").select(F.col("user_id").alias("owner"), "path", "kind")
+    return lookups.same_paths(e.where("kind != 'removed'"), e.where("kind != 'context'"))
+
+
+@query(f"""
+WITH RECURSIVE {_USED}, asked AS (SELECT DISTINCT dst AS module, id AS name FROM export_edges)
+SELECT a.module, a.name, CASE WHEN u.all_used OR list_contains(string_split(u.names, ','), a.name) THEN a.name END AS used_name FROM asked a LEFT JOIN used u USING (module)""")
+def used_name(spark, d):
+    edges = settle(view(spark, d, "export_edges"))
+    used = exports.used_exports(_provided(spark, d), _known(spark, d), edges, _entries(spark, d))
+    return exports.used_names(edges.select(F.col("dst").alias("module"), F.col("id").alias("name")).distinct(), used)
+
+
+@query("""
+WITH m AS (SELECT path AS key, max(event_type) AS etag, max(CAST(event_id AS VARCHAR)) AS payload FROM file_events WHERE value > 50 GROUP BY path),
+n AS (SELECT path AS key, max(event_type) AS etag, min(CAST(event_id AS VARCHAR)) AS payload FROM file_events WHERE value <= 20 GROUP BY path)
+SELECT * FROM n UNION ALL SELECT * FROM m WHERE key NOT IN (SELECT key FROM n)""")
+def cache_store(spark, d):
+    e = view(spark, d, "file_events").withColumn("id", F.col("event_id").cast("string"))
+    layer = e.where("value > 50").groupBy(F.col("path").alias("key")).agg(F.max("event_type").alias("etag"), F.max("id").alias("payload"))
+    new = e.where("value <= 20").groupBy(F.col("path").alias("key")).agg(F.max("event_type").alias("etag"), F.min("id").alias("payload"))
+    return incremental.stored([layer], new)[0]
+
+
+@query("""
+SELECT s_suppkey AS root FROM supplier LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 7 <> 0) ON c_custkey = s_suppkey
+WHERE c_custkey IS NULL OR s_nationkey <> c_nationkey""")
+def managed_packages(spark, d):
+    was = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), F.lit("p").alias("name"), F.col("s_nationkey").alias("version"))
+    now = table(spark, d, "customer").where("c_custkey % 7 != 0").select(F.col("c_custkey").alias("root"), F.lit("p").alias("name"), F.col("c_nationkey").alias("version"))
+    return incremental.invalid_managed(was, now)
+
+
+@query("""
+WITH runs AS (SELECT o_custkey AS run, bool_or(o_orderstatus = 'P') AS manual FROM orders GROUP BY o_custkey),
+c AS (SELECT user_id AS run, count(DISTINCT path) AS n FROM file_events WHERE kind = 'removed' GROUP BY user_id), f AS (SELECT min(run) AS first FROM runs)
+SELECT run, full_build AS "full", CASE WHEN full_build THEN 0 ELSE n END AS n FROM (SELECT run, n, run = first OR manual OR n IS NULL AS full_build FROM runs LEFT JOIN c USING (run), f)""")
+def rebuild_rows(spark, d):
+    runs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.bool_or(F.col("o_orderstatus") == "P").alias("manual"))
+    return watch.builds(view(spark, d, "file_events").where("kind = 'removed'").select(F.col("user_id").alias("run"), "path"), runs)
+
+
+@query("SELECT event_id, path FROM file_events WHERE NOT starts_with(path, '/click/') AND path <> '/click' AND NOT contains(path, '/u1/') AND NOT regexp_matches(path, '/f4[0-9]$')")
+def ignored_changes(spark, d):
+    return watch.not_ignored(view(spark, d, "file_events"), "/click", ("/u1/",), ("/f4[0-9]$",)).select("event_id", "path")
+
+
+@query("SELECT path, CASE max(CASE kind WHEN 'removed' THEN 2 WHEN 'context' THEN 1 ELSE 0 END) WHEN 2 THEN 'missing' WHEN 1 THEN 'context' ELSE 'file' END AS kind FROM file_events GROUP BY path")
+def watch_targets(spark, d):
+    kind = F.expr("CASE kind WHEN 'removed' THEN 'missing' WHEN 'context' THEN 'context' ELSE 'file' END")
+    return watch.watch_targets(view(spark, d, "file_events").select("path", kind.alias("kind")))
+
+
+_LISTED = "SELECT path, max(event_id) AS mtime, CAST(count(*) AS BIGINT) AS size FROM file_events WHERE {} GROUP BY path"
+
+
+@query(f"""
+WITH b AS ({_LISTED.format("kind <> 'context'")}), n AS ({_LISTED.format("kind <> 'removed'")})
+SELECT coalesce(b.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS kind FROM b FULL JOIN n ON b.path = n.path
+WHERE n.path IS NULL OR b.mtime IS DISTINCT FROM n.mtime OR b.size IS DISTINCT FROM n.size""")
+def polled_changes(spark, d):
+    e = view(spark, d, "file_events")
+    listed = lambda what: e.where(what).groupBy("path").agg(F.max("event_id").alias("mtime"), F.count("*").alias("size"))
+    return watch.poll_diff(listed("kind != 'context'"), listed("kind != 'removed'"))
+
+
+@query("""SELECT DISTINCT user_id AS owner FROM file_events WHERE user_id NOT IN
+  (SELECT user_id FROM file_events WHERE path IN (SELECT path FROM file_events WHERE kind = 'removed' AND value > 90))""")
+def reusable_records(spark, d):
+    e = view(spark, d, "file_events")
+    return watch.reusable(e.select(F.col("user_id").alias("owner"), "path"), e.where("kind = 'removed' AND value > 90").select("path"))
+
+
+@query("""
+WITH a AS (SELECT p_partkey AS module, p_size AS graph, p_name AS ids FROM part WHERE p_size <> 3), b AS (SELECT p_partkey AS module, CASE WHEN p_size = 7 THEN 70 ELSE p_size END AS graph, CASE WHEN p_size = 9 THEN 'x' ELSE p_name END AS ids FROM part)
+SELECT b.module, coalesce(a.graph = b.graph, FALSE) AS graph_ok, coalesce(a.graph = b.graph AND a.ids = b.ids, FALSE) AS codegen_ok FROM b LEFT JOIN a USING (module)""")
+def memo_validity(spark, d):
+    p = _parts(spark, d, F.col("p_size").alias("graph"), F.col("p_name").alias("ids"))
+    new = p.withColumns({"graph": F.when(F.col("graph") == 7, 70).otherwise(F.col("graph")), "ids": F.when(F.col("graph") == 9, "x").otherwise(F.col("ids"))})
+    return incremental.memo_validity(p.where("graph != 3"), new)
+
+
+@query("""
+SELECT coalesce(s_suppkey, c_custkey) AS name FROM supplier FULL JOIN customer ON s_suppkey = c_custkey WHERE s_nationkey IS DISTINCT FROM c_nationkey""")
+def guard_failures(spark, d):
+    was = table(spark, d, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_nationkey").alias("value"))
+    return incremental.guard_failures(was, table(spark, d, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("value")))
+
+
+@query("""
+WITH h AS (SELECT p_partkey AS module, sha256(p_name) AS hash FROM part)
+SELECT chunk, sha256(string_agg(hash, ',' ORDER BY module)) AS etag FROM (SELECT DISTINCT l_suppkey AS chunk, l_partkey AS module FROM lineitem) JOIN h USING (module) GROUP BY chunk""")
+def asset_etags(spark, d):
+    return incremental.asset_etags(_members(spark, d), _parts(spark, d, F.sha2("p_name", 256).alias("hash")))
+
+
+@query("""
+WITH t AS (SELECT origin, '[' || string_agg('{"seq":' || conn_id || ',"target":' || coalesce('"' || p_name || '"', 'null') || '}', ',' ORDER BY conn_id, p_name NULLS FIRST) || ']' AS j
+  FROM (SELECT l_orderkey * 100 + l_linenumber AS conn_id, l_orderkey AS origin, l_partkey AS module FROM lineitem) LEFT JOIN part ON p_partkey = module AND p_size > 25 GROUP BY origin)
+SELECT o_orderkey AS module, sha256('{"identity":' || o_orderkey || ',"source_hash":"' || o_orderpriority || '","error":null,"used":"' || o_orderstatus || '","id":' ||
+  coalesce('"' || p_name || '"', 'null') || ',"targets":' || coalesce(j, 'null') || '}') AS hash
+FROM orders LEFT JOIN part ON p_partkey = o_orderkey AND p_size > 25 LEFT JOIN t ON origin = o_orderkey""")
+def module_hashes(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("module"), F.col("o_orderkey").alias("identity"), F.col("o_orderpriority").alias("source_hash"), F.lit(None).cast("string").alias("error"), F.col("o_orderstatus").alias("used"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("dst"))
+    return incremental.module_hashes(o, e, table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("module"), F.col("p_name").alias("id")))
+
+
+@query(f"SELECT p_partkey AS module, {_fnv_sql('p_name')} AS hash FROM part")
+def stable_hash(spark, d):
+    return _parts(spark, d, hashing.fnv64("p_name").alias("hash"))
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT l_partkey AS src, min(l_suppkey) AS dst FROM lineitem GROUP BY l_partkey),
+r AS (SELECT src AS root, dst AS node FROM w UNION SELECT root, dst FROM r JOIN w ON src = node) SELECT root AS node FROM r WHERE root = node""")
+def wait_cycles(spark, d):
+    return reachability.waits_in_cycle(table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src")).agg(F.min("l_suppkey").alias("dst")))
+
+
+@query("""
+WITH g AS (SELECT DISTINCT c_nationkey AS "group", o_orderkey AS chunk FROM orders JOIN customer ON c_custkey = o_custkey), n AS (SELECT o_orderkey AS source, -o_orderkey AS chunk FROM orders WHERE o_orderstatus = 'P')
+SELECT * FROM g UNION SELECT g."group", n.chunk FROM g JOIN n ON n.source = g.chunk""")
+def inherited_groups(spark, d):
+    o = table(spark, d, "orders")
+    groups = o.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("group"), F.col("o_orderkey").alias("chunk")).distinct()
+    return chunks.inherit_groups(groups, o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("source"), (-F.col("o_orderkey")).alias("chunk")))
+
+
+@query(f"SELECT * FROM {_MEMBERS} WHERE module % 5 <> 0 UNION SELECT 0, p_partkey FROM part WHERE p_size = 1 AND p_partkey % 5 <> 0")
+def membership_edits(spark, d):
+    joined = chunks.connect(_members(spark, d), _entries(spark, d).select(F.lit(0).cast("long").alias("chunk"), "module"))
+    return chunks.disconnect(joined, joined.where("module % 5 = 0"))
+
+
+@query("""
+SELECT page_id, concat('r/', CAST(page_id % 7 AS VARCHAR)) AS root FROM pages WHERE page_id % 7 < 5 UNION ALL SELECT page_id, 'r' FROM pages WHERE page_id % 7 >= 5""")
+def nearest_package(spark, d):
+    f = table(spark, d, "pages").select("page_id", F.concat(F.lit("r/"), F.expr("page_id % 7"), F.lit("/src/f"), "page_id").alias("path"))
+    roots = spark.createDataFrame([("r", "{}"), *((f"r/{i}", "{}") for i in range(5))], "root string, data string")
+    return files.nearest_package(f, roots).join(f, "path").select("page_id", "root")
+
+
+@query("SELECT p_partkey AS module, concat('javascript/auto|', CASE WHEN p_size > 25 THEN 'a.js!' ELSE '' END, p_name, CASE WHEN p_size % 2 = 0 THEN '?q' ELSE '' END) AS identifier FROM part")
+def module_identifiers(spark, d):
+    none = F.lit(None).cast("string")
+    p = _parts(spark, d, F.lit("javascript/auto").alias("module_type"), F.col("p_name").alias("resource"), F.when(F.col("p_size") % 2 == 0, "?q").alias("query"), none.alias("fragment"),
+               F.when(F.col("p_size") > 25, F.array(F.lit("a.js"))).alias("loaders"))
+    return p.select("module", naming.module_identifier().alias("identifier"))
+
+
+@query("SELECT page_id, './' || page_id || '.js' AS request, 'a/' || page_id || '.js' AS path FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, './' || page_id, 'a/' || page_id || '.ts' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, '../a/b/../' || page_id, 'a/' || page_id || '/index.json' FROM pages WHERE page_id % 3 = 2")
+def resolved_paths(spark, d):
+    p, k = table(spark, d, "pages").select("page_id"), F.col("page_id") % 3
+    request = F.when(k == 0, F.concat(F.lit("./"), "page_id", F.lit(".js"))).when(k == 1, F.concat(F.lit("./"), "page_id")).otherwise(F.concat(F.lit("../a/b/../"), "page_id"))
+    path = F.concat(F.lit("a/"), "page_id", F.when(k == 0, ".js").when(k == 1, ".ts").otherwise("/index.json"))
+    asked = p.select(F.col("page_id").alias("id"), F.lit("a").alias("directory"), request.alias("request"))
+    found = files.resolve(asked, p.select(path.alias("path")).union(p.where(k == 1).select(F.concat(F.lit("a/"), "page_id", F.lit(".json")))))
+    return asked.join(found, "id").select(F.col("id").alias("page_id"), "request", "path")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM part_edges WHERE dyn = 0),
+r(node, depth) USING KEY (node) AS (SELECT p_partkey, 0 FROM part WHERE p_size = 1
+  UNION SELECT dst, min(depth) + 1 FROM r JOIN e ON src = node WHERE dst NOT IN (SELECT node FROM recurring.r) GROUP BY dst)
+SELECT 'm/' || node || '.js' AS path, CAST(depth AS INTEGER) AS depth, count(dst) AS n FROM r LEFT JOIN e ON src = node GROUP BY node, depth""")
+def build_loop(spark, d):
+    """Modules whose sources import each other as parts follow each other, from all entries to the end."""
+    lists = view(spark, d, "part_edges").where("dyn = 0").groupBy(F.col("src").alias("module")).agg(F.collect_set("dst").alias("to"))
+    line = F.transform("to", lambda x: F.concat(F.lit("import './"), x.cast("string"), F.lit("';")))
+    sources = _parts(spark, d).join(lists, "module", "left").select(F.concat(F.lit("m/"), "module", F.lit(".js")).alias("path"), F.coalesce(F.array_join(line, "\n"), F.lit("")).alias("source"))
+    entries = _entries(spark, d).select(F.col("module").cast("int").alias("entry_index"), F.col("module").cast("string").alias("name"), F.concat(F.lit("./"), "module").alias("request"))
+    graph = build(settle(sources), entries, "m")
+    out = graph.edges.where("origin IS NOT NULL AND module IS NOT NULL").groupBy(F.col("origin").alias("path")).agg(F.count("*").alias("n"))
+    return graph.modules.join(out, "path", "left").select("path", "depth", F.coalesce("n", F.lit(0)).alias("n"))
