@@ -23,17 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .storage import pick
-from .words import buffers, slices
+from .words import Slice, buffers, slices
 
 #: Distinct chunks, and bytes of them and their ids, in a task's table before it starts anew.
-TABLE_CHUNKS, TABLE_BYTES = 300_000, 32 << 20
+TABLE_CHUNKS, TABLE_BYTES = 500_000, 32 << 20
 MARKER = "▁"
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one list behind the other, and how many each has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
 class ChunkTable:
-    """Ids by the bytes of a chunk; ``encode`` gets the new ones and returns a list of ids for each."""
+    """Ids by the bytes of a chunk; ``encode`` gets the new ones and returns their ids, one chunk's behind the other's, and
+    how many each has."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], chunks: int = TABLE_CHUNKS, size: int = TABLE_BYTES):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], chunks: int = TABLE_CHUNKS, size: int = TABLE_BYTES):
         self.encode, self.most, self.size = encode, chunks, size
         self.clear()
 
@@ -51,30 +58,34 @@ class ChunkTable:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def places(self, chunks: list[bytes]) -> np.ndarray:
-        """The table's place of each chunk."""
+    def places(self, s: Slice, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+        """The table's place of each chunk of a slice."""
+        distinct, group = s.groups(start, end, lower)
+        return self.find(distinct)[group]
+
+    def find(self, distinct: list[bytes]) -> np.ndarray:
+        """The table's place of each of some distinct chunks."""
         if len(self.chunks) > self.most or self.bytes + 4 * self.used > self.size:
             self.clear()
+        new = sorted(c for c, p in zip(distinct, map(self.at.get, distinct), strict=True) if p is None)
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+
+    def _add(self, new: list[bytes]) -> None:
         base = len(self.chunks)
-        try:
-            return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            pass
-        new = list(dict.fromkeys(c for c in chunks if c not in self.at))
-        coded = self.encode(new)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        total = int(sizes.sum())
+        ids, sizes = self.encode(new)
+        total = len(ids)
         self._fit("start", base + len(new))
         self._fit("length", base + len(new))
         self._fit("ids", self.used + total)
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(coded), np.int32, total)
+        self.ids[self.used : self.used + total] = ids
         self.start[base : base + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.length[base : base + len(new)] = sizes
         self.used += total
         self.chunks += new
         self.bytes += sum(map(len, new))
         self.at.update(zip(new, range(base, base + len(new)), strict=True))
-        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
 
     def text_of(self, place: int) -> np.ndarray:
         return self.ids[self.start[place] : self.start[place] + self.length[place]]
@@ -98,10 +109,10 @@ def _encoder(path: str):
     sp = processor(path)
     alone = sp.piece_to_id(MARKER)
 
-    def encode(chunks: list[bytes]) -> list[list[int]]:
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # the model puts a marker before what it gets: the chunk's first
         texts = [c[1:].decode("utf-8") for c in chunks]
-        return [ids if t else [alone] for t, ids in zip(texts, sp.encode(texts, num_threads=1), strict=True)]
+        return flat([ids if t else [alone] for t, ids in zip(texts, sp.encode(texts, num_threads=1), strict=True)])
 
     return encode
 
@@ -139,7 +150,7 @@ def _codec(path: str):
             for row, s, start in marked_slices(batch.column(1)):
                 raw = s.data.tobytes()
                 stop = np.r_[start[1:], len(raw)]
-                places = table.places(s.parts(start, stop))
+                places = table.places(s, start, stop)
                 if known is not table.chunks:
                     known, decimal, plain = table.chunks, [], []
                 for p in range(len(decimal), len(table.chunks)):
@@ -176,7 +187,7 @@ def _encode_rows(path: str):
         table = ChunkTable(_encoder(path))
         for batch in batches:
             for row, s, start in marked_slices(batch.column(1)):
-                places = table.places(s.parts(start, np.r_[start[1:], len(s.data)]))
+                places = table.places(s, start, np.r_[start[1:], len(s.data)])
                 ptr = np.searchsorted(start, s.bounds)
                 ids = [
                     np.r_[np.concatenate([table.text_of(p) for p in places[a:b]]) if b > a else np.empty(0, np.int32), end].astype(np.int32)

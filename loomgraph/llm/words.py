@@ -80,6 +80,23 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return one, two
 
 
+def same_spans(data: np.ndarray, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether all spans (start, end) of one hold the same bytes as those of two, pair by pair."""
+    length = one[1] - one[0]
+    if (length != two[1] - two[0]).any():
+        return False
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    at = np.flatnonzero((one[0] != two[0]) & (length <= LONG_WORD))
+    for j in range(0, LONG_WORD, 8):
+        at = at[length[at] > j]
+        if ((blocks[one[0][at] + j] ^ blocks[two[0][at] + j]) & _KEEP[np.minimum(length[at] - j, 8)]).any():
+            return False
+    long = np.flatnonzero((one[0] != two[0]) & (length > LONG_WORD)).tolist()
+    return all(np.array_equal(data[one[0][i] : one[1][i]], data[two[0][i] : two[1][i]]) for i in long)
+
+
 class Slice:
     """Some consecutive documents of a batch.
 
@@ -117,6 +134,16 @@ class Slice:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.counts)
 
+    def groups(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> tuple[list[bytes], np.ndarray]:
+        """The distinct ones of spans, and which of them each is. Hashes only propose: bytes decide."""
+        data = _LOWER[self.data] if lower else self.data
+        _, first, group = np.unique(span_hashes(data, start, end)[0], return_index=True, return_inverse=True)
+        if same_spans(data, (start, end), (start[first][group], end[first][group])):
+            return self.parts(start[first], end[first], lower), group
+        found: dict[bytes, int] = {}
+        group = np.array([found.setdefault(x, len(found)) for x in self.parts(start, end, lower)])
+        return list(found), group
+
     def spans(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the bytes of each span."""
         return span_hashes(_LOWER[self.data] if lower else self.data, start, end)

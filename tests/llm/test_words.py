@@ -75,3 +75,17 @@ def test_hash_sample(spark):
     df = spark.range(5000)
     n = hash_sample(df, ["id"], 1000).count()
     assert 800 < n < 1200 and hash_sample(df, ["id"], 5000).count() == 5000
+
+
+def test_groups_by_bytes_whatever_the_hashes(monkeypatch):
+    r = random.Random(2)
+    text = " ".join(r.choice(["a", "B", "b", "x" * 70, "x" * 69 + "y", "é" * 5, "same" * 30]) for _ in range(500))
+    (s,) = words.slices(pa.array([text]))
+    for lower in (False, True):
+        want = s.parts(s.start, s.end, lower)
+        for collide in (False, True):
+            if collide:
+                monkeypatch.setattr(words, "span_hashes", lambda data, start, end: (np.zeros(len(start), np.uint64),) * 2)
+            distinct, group = s.groups(s.start, s.end, lower)
+            monkeypatch.undo()
+            assert [distinct[g] for g in group] == want and len(set(distinct)) == len(distinct)
