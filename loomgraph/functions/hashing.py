@@ -30,3 +30,8 @@ def fnv64(column: str | Column) -> Column:
 def content_name(content: Column, extension: Column) -> Column:
     """A content's file name: 20 hex digits of its SHA-256 and the extension."""
     return F.concat(F.substring(F.sha2(content, 256), 1, 20), extension)
+
+
+def content_url(content: Column, extension: Column, query: Column, fragment: Column) -> Column:
+    """The file name with the request's own query and fragment, which keep their ? and #."""
+    return F.concat(content_name(content, extension), F.coalesce(query, F.lit("")), F.coalesce(fragment, F.lit("")))

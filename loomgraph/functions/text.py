@@ -67,6 +67,16 @@ def property_access(value: Column) -> Column:
     return F.when(is_identifier(value), F.concat(F.lit("."), value)).otherwise(F.concat(F.lit("["), json_quote(value), F.lit("]")))
 
 
+def property_name(value: Column) -> Column:
+    return F.when(is_identifier(value), value).otherwise(F.concat(F.lit("["), json_quote(value), F.lit("]")))
+
+
+def import_variable(request: Column, order: Column) -> Column:
+    """The name that an imported module gets in a source; orders count from one, a null or 0 is the first."""
+    index = F.greatest(F.coalesce(order, F.lit(0)) - 1, F.lit(0)).cast("string")
+    return F.concat(F.lit("_"), sanitize_identifier(request), F.lit("__WEBPACK_IMPORTED_MODULE_"), index, F.lit("__"))
+
+
 def json_keys(text: Column) -> Column:
     """Keys of a JSON object behind an optional byte order mark; null where it isn't one."""
     return F.json_object_keys(F.regexp_replace(text, "^﻿", ""))

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import chunks, exports, incremental, lookups, naming, reachability, render
+from ..operators import chunks, exports, incremental, lookups, naming, reachability, render, templates
 from ..sources import files
 from ..streaming import watch
 from .build import build
 from .fixpoint import settle
+from .registry import ModuleTypes
 from .views import duckdb_sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -833,3 +834,82 @@ def build_loop(spark, d):
     graph = build(settle(sources), entries, "m")
     out = graph.edges.where("origin IS NOT NULL AND module IS NOT NULL").groupBy(F.col("origin").alias("path")).agg(F.count("*").alias("n"))
     return graph.modules.join(out, "path", "left").select("path", "depth", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_TYPES = ["import_side_effect", "import_specifier", "export_specifier", "export_imported", "export_star", "export_expression", "import"]
+
+
+@query("""
+WITH d AS (SELECT l_orderkey AS module, l_linenumber AS seq, l_linenumber AS n, 's' || l_suppkey AS request, '.m' || l_suppkey || '["' || l_returnflag || '-x"]' AS path,
+  'm' || l_suppkey AS local, CASE WHEN l_returnflag = 'A' THEN l_returnflag WHEN l_returnflag = 'R' THEN '["' || l_returnflag || '-"]' END AS used,
+  CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS target, CASE WHEN l_partkey % 5 = 0 THEN CAST(l_linenumber AS VARCHAR) END AS ordinal,
+  l_suppkey % 3 AS k, l_linestatus = 'F' AS short FROM lineitem),
+v AS (SELECT *, CASE WHEN ordinal IS NULL THEN '_' || request || '__WEBPACK_IMPORTED_MODULE_' || (n - 1) || '__' ELSE '__webpack_concatenation_exports__0[' || ordinal || ']' END AS var,
+  ordinal IS NOT NULL OR target IS NOT NULL AS reached FROM d)
+SELECT module, seq,
+  CASE n WHEN 2 THEN CASE WHEN short THEN 'n: ' ELSE '' END || var || path WHEN 6 THEN '/* harmony default export */ '
+    WHEN 7 THEN CASE k WHEN 0 THEN 'Promise.resolve()' WHEN 1 THEN '__webpack_require__.e("c1")' ELSE 'Promise.all([__webpack_require__.e("c1"), __webpack_require__.e("c2")])' END
+      || '.then(__webpack_require__.bind(__webpack_require__, ' || target || '))' END AS text,
+  CASE n WHEN 1 THEN CASE WHEN ordinal IS NOT NULL THEN '__webpack_concatenation_initializers__0[' || ordinal || ']();' || chr(10) ELSE '/* harmony import */ var ' || var || ' = __webpack_require__(' || target || ');' || chr(10) END
+    WHEN 3 THEN '__webpack_require__.d(__webpack_exports__, { ' || used || ': () => (' || local || ') });' || chr(10)
+    WHEN 4 THEN CASE WHEN reached THEN '__webpack_require__.d(__webpack_exports__, { ' || used || ': () => (' || var || path || ') });' || chr(10) END
+    WHEN 5 THEN CASE WHEN reached THEN '/* harmony reexport (unknown) */ for(const __WEBPACK_IMPORT_KEY__ in ' || var || ') if(__WEBPACK_IMPORT_KEY__ !== "default" && __WEBPACK_IMPORT_KEY__ !== "__esModule") __webpack_require__.d(__webpack_exports__, { [__WEBPACK_IMPORT_KEY__]: () => (' || var || '[__WEBPACK_IMPORT_KEY__]) });' || chr(10) END
+    WHEN 6 THEN '__webpack_require__.d(__webpack_exports__, { ' || used || ': () => (' || local || ') });' || chr(10) END AS content,
+  CAST(CASE WHEN n = 1 THEN 1 WHEN n = 2 THEN 0 WHEN n = 7 THEN CASE WHEN k = 0 THEN 1 ELSE 65 END ELSE 8 END AS INTEGER) AS mask
+FROM v""")
+def dependency_templates(spark, d):
+    c, chunks_of = F.col, F.array(F.lit('"c1"'), F.lit('"c2"'))
+    e = table(spark, d, "lineitem").select(
+        c("l_orderkey").alias("module"), c("l_linenumber").alias("seq"), F.get(F.array(*map(F.lit, _TYPES)), c("l_linenumber") - 1).alias("dep_type"),
+        F.concat(F.lit("./s"), "l_suppkey").alias("request"), c("l_linenumber").alias("source_order"), F.array(F.concat(F.lit("m"), "l_suppkey"), F.concat("l_returnflag", F.lit("-x"))).alias("ids"),
+        F.lit("n").alias("name"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.when(c("l_returnflag") == "A", c("l_returnflag")).when(c("l_returnflag") == "R", "R-").alias("used_name"),
+        F.when(c("l_partkey") % 3 != 0, c("l_partkey").cast("string")).alias("target_id"), F.when(c("l_partkey") % 5 == 0, c("l_linenumber")).alias("ordinal"), F.lit(0).alias("scope"),
+        F.slice(chunks_of, F.lit(1), (c("l_suppkey") % 3).cast("int")).alias("chunk_ids"), (c("l_linestatus") == "F").alias("shorthand"),
+    )
+    return templates.dependency_code(e).select("module", "seq", "text", "content", "mask")
+
+
+@query("""
+WITH h(bit, stage, name, requirement) AS (VALUES (8, 0, 'define property getters', 'define_getters'), (64, 1, 'ensure chunk', 'ensure_chunk'), (256, 0, 'get javascript chunk filename', 'chunk_filename'),
+  (16, 0, 'hasOwnProperty shorthand', 'has_own'), (32, 0, 'make namespace object', 'make_namespace'), (512, 0, 'module factories add only', 'factories_add_only'), (128, 2, 'require chunk loading', 'ensure_chunk_handlers')),
+m AS (SELECT o_orderkey AS entry, 1 << CAST(o_orderkey % 11 AS INTEGER) AS mask FROM orders), a AS (SELECT entry, mask | CASE WHEN mask & 8 <> 0 THEN 16 ELSE 0 END | CASE WHEN mask & 64 <> 0 THEN 912 ELSE 0 END | CASE WHEN mask & 128 <> 0 THEN 784 ELSE 0 END AS mask FROM m)
+SELECT entry, CAST(row_number() OVER (PARTITION BY entry ORDER BY stage, name) - 1 AS INTEGER) AS place, 'webpack/runtime/' || name AS name, requirement FROM a JOIN h ON mask & bit <> 0""")
+def runtime_helpers(spark, d):
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("entry"), F.expr("shiftleft(1, CAST(o_orderkey % 11 AS INT))").alias("mask"))
+    return templates.runtime_helpers(m.select("entry", chunks.close_mask(F.col("mask")).alias("mask")))
+
+
+@query("""
+WITH m AS (SELECT root, row_number() OVER (PARTITION BY root ORDER BY n) - 1 AS ordinal FROM (SELECT DISTINCT l_orderkey AS root, l_linenumber AS n FROM lineitem)), s AS (SELECT root, CASE WHEN root % 4 = 1 THEN 1 ELSE 0 END AS k, count(*) AS n FROM m GROUP BY root),
+x AS (SELECT root, n, '__webpack_concatenation_exports__' || k AS e, '__webpack_concatenation_initialized__' || k AS d, '__webpack_concatenation_initializers__' || k AS i FROM s)
+SELECT root, '// webpack-style concatenated module' || chr(10) || 'var ' || any_value(e) || ' = [' || string_agg(CASE WHEN ordinal = 0 THEN '__webpack_exports__' ELSE '{}' END, ', ' ORDER BY ordinal) || '];' || chr(10)
+  || 'var ' || any_value(d) || ' = Array(' || any_value(n) || ').fill(false);' || chr(10) || 'var ' || any_value(i) || ' = Array(' || any_value(n) || ');' || chr(10)
+  || string_agg(i || '[' || ordinal || '] = () => {' || chr(10) || '  if (' || d || '[' || ordinal || ']) return ' || e || '[' || ordinal || '];' || chr(10) || '  ' || d || '[' || ordinal || '] = true;' || chr(10)
+    || '  return ((__webpack_exports__, __webpack_require__) => {' || chr(10) || 'f(' || ordinal || ')' || chr(10) || '    return __webpack_exports__;' || chr(10) || '  })(' || e || '[' || ordinal || '], __webpack_require__);' || chr(10) || '};' || chr(10), '' ORDER BY ordinal)
+  || any_value(i) || '[0]();' || chr(10) AS text FROM m JOIN x USING (root) GROUP BY root""")
+def concatenated_code(spark, d):
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("root"), F.col("l_linenumber").alias("n")).distinct()
+    m = m.select("root", (F.row_number().over(Window.partitionBy("root").orderBy("n")) - 1).alias("ordinal"))
+    taken = F.when(F.col("root") % 4 == 1, F.array(F.lit("x"), F.lit("__webpack_concatenation_initialized__0"))).otherwise(F.array(F.lit("__webpack_concatenation_exports__1"))).alias("identifiers")
+    module = F.when(F.col("ordinal") == 0, F.col("root")).otherwise(-F.col("root") * 10 - F.col("ordinal")).alias("module")
+    members = m.select("root", "ordinal", module, F.concat(F.lit("f("), "ordinal", F.lit(")")).alias("text"))
+    return templates.concatenated(members, templates.scope_suffixes(m.select("root", taken)))
+
+
+@query("SELECT doc_id AS module, concat(substr(sha256(text), 1, 20), '.txt', CASE WHEN doc_id % 2 = 0 THEN '?v=' || doc_id ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN '#top' ELSE '' END) AS url FROM documents WHERE text IS NOT NULL")
+def resource_urls(spark, d):
+    k = F.col("doc_id")
+    url = hashing.content_url(F.col("text"), F.lit(".txt"), F.when(k % 2 == 0, F.concat(F.lit("?v="), k)), F.when(k % 3 == 0, "#top"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select(k.alias("module"), url.alias("url"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'asset' ELSE 'javascript' END AS module_type, CASE page_id % 4 WHEN 0 THEN 'J' WHEN 1 THEN 'A' ELSE 'S' END || page_id AS code FROM pages")
+def typed_generation(spark, d):
+    types, id_ = ModuleTypes(), F.col("page_id")
+    for kind, mark in (("json", "J"), ("asset", "A"), ("javascript", "S")):
+        types.register(kind, lambda m: m, lambda m, mark=mark: m.withColumn("code", F.concat(F.lit(mark), "page_id")))
+    types.rule("json", lambda path: path.endswith(".json"))
+    types.rule("asset", lambda path: path.rlike(r"\.(png|svg)$"))
+    types.default("javascript")
+    path = F.concat(id_, F.when(id_ % 4 == 0, ".json").when(id_ % 4 == 1, ".png").otherwise(".js"))
+    return types.generate(table(spark, d, "pages").select("page_id", types.type_of(path).alias("module_type")))

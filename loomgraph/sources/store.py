@@ -6,7 +6,10 @@ Spark writes to. A revision that was never pointed at stays unread; the next one
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +35,17 @@ def revision(spark: SparkSession, root: str) -> int:
     return max(_pointers(spark, root), default=0)
 
 
-def publish(df: DataFrame, root: str, seen: int) -> int:
-    """Write df as the revision after ``seen``, the one it was made from; :class:`Conflict` if that is no longer the newest."""
+def publish(df: DataFrame, root: str, seen: int, compression: str = "zstd") -> int:
+    """Write df as the revision after ``seen``, the one it was made from; :class:`Conflict` if that is no longer the newest.
+
+    compression: a codec of Parquet that Spark has, none and gzip among them; readers need not know it.
+    """
     spark = df.sparkSession
     fs, path = _files(spark, root)
     folder = f"data-{uuid.uuid4().hex}"
     if revision(spark, root) != seen:
         raise Conflict(f"{root}: revision {seen} is no longer the newest")
-    df.write.parquet(f"{root}/{folder}")
+    df.write.option("compression", compression).parquet(f"{root}/{folder}")
     try:
         # creating without overwriting is what decides between two writers
         out = fs.create(path(f"{root}/_pointers/{seen + 1}"), False)
@@ -51,6 +57,33 @@ def publish(df: DataFrame, root: str, seen: int) -> int:
     return seen + 1
 
 
+@contextmanager
+def sole_writer(spark: SparkSession, root: str, owner: str, most_age_s: float | None = None) -> Iterator[None]:
+    """Hold the table's writer marker; :class:`Conflict` while another owner holds it.
+
+    A marker of the same owner, or one older than ``most_age_s``, was left by a run that was lost, and is taken over. The
+    marker keeps writers from doing work twice; what a reader sees is settled by :func:`publish` alone.
+    """
+    fs, path = _files(spark, root)
+    at = path(f"{root}/_writer/owner")
+    if fs.exists(at):
+        held = spark.read.text(f"{root}/_writer/owner").first()
+        age = time.time() - fs.getFileStatus(at).getModificationTime() / 1000
+        if held and held[0] != owner and (most_age_s is None or age <= most_age_s):
+            raise Conflict(f"{root}: {held[0]} is writing")
+        fs.delete(at, False)
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        raise Conflict(f"{root}: another writer came first") from e
+    out.write(bytearray(owner.encode()))
+    out.close()
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
 def read(spark: SparkSession, root: str, at: int | None = None) -> DataFrame | None:
     """The table at a revision, the newest by default; None where nothing was published."""
     at = at or revision(spark, root)
