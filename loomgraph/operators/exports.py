@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import fixpoint, settle
+from ..plans.fixpoint import drop, fixpoint, settle
 
 ALL = "*"
 
@@ -57,7 +57,9 @@ def used_exports(provided: DataFrame, known: DataFrame, edges: DataFrame, entrie
         out = by_name.select("dst", F.col("id").alias("name")).unionByName(whole).unionByName(free).unionByName(held)
         return out.select(F.col("dst").alias("module"), "name")
 
-    used = fixpoint(seeds, step).groupBy("module").agg(
+    found = fixpoint(seeds, step)
+    drop(edges, named, stars, may, bounded)
+    used = found.groupBy("module").agg(
         F.bool_or(F.col("name") == ALL).alias("all_used"), F.concat_ws(",", F.array_sort(F.collect_set("name"))).alias("names")
     )
     return used.select("module", "all_used", F.when(~F.col("all_used"), F.col("names")).alias("names"))

@@ -16,12 +16,14 @@ def static_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth): nodes reachable from any seed(node), with the fewest steps."""
     start = seeds.select("node", F.lit(0).alias("depth"))
-    hops = edges.select("src", "dst").distinct()
+    hops = settle(edges.select("src", "dst").distinct())  # read in every round, so computed once
 
     def step(new: DataFrame) -> DataFrame:
         return new.join(hops, new["node"] == hops["src"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
 
-    return fixpoint(start, step, ["node"])
+    found = fixpoint(start, step, ["node"])
+    drop(hops)
+    return found
 
 
 def pure_modules(modules: DataFrame, side_effect_edges: DataFrame) -> DataFrame:

@@ -81,11 +81,13 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFra
 
     seeds: (root, node), usually with root = node.
     """
-    hops = edges.select("src", "dst").distinct()
+    hops = settle(edges.select("src", "dst").distinct())  # read in every round, so computed once
 
     def step(new: DataFrame) -> DataFrame:
         here = new.join(hops, new["node"] == hops["src"])
         return here.select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
 
     start = seeds.select("root", "node", F.lit(0).alias("depth"))
-    return fixpoint(start, step, ["root", "node"], max_rounds)
+    found = fixpoint(start, step, ["root", "node"], max_rounds)
+    drop(hops)
+    return found
