@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv64
+from ..plans.fixpoint import settle
 
 #: Ranges that rows are numbered in, and keys that their bounds are chosen from.
 RANGES, SAMPLED = 256, 16_384
@@ -101,6 +102,17 @@ def async_chunk_names(roots: DataFrame) -> DataFrame:
     return listed.select("chunk", F.array_join(ids, "-").alias("short"), full.alias("full"))
 
 
+def chunk_ids(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(chunk, id, number) of all chunks: entries(chunk, name) first, then those of roots(chunk, name, key), which can't have an id of the former.
+
+    Entries come from configuration, so what they are called is sent to the driver.
+    """
+    first = settle(named_ids(entries.select(F.col("chunk").alias("item"), F.col("name").alias("short"), F.concat(F.lit("entry:"), "name").alias("full"))))
+    reserved = [r.id if r.id is not None else str(r.number) for r in first.select("id", "number").collect()]
+    rest = named_ids(async_chunk_names(roots).select(F.col("chunk").alias("item"), "short", "full"), reserved)
+    return first.unionByName(rest).withColumnRenamed("item", "chunk")
+
+
 def output_filename():
     """Override, else name, else id, with .js behind the last two."""
     return F.coalesce("filename", F.concat("name", F.lit(".js")), F.concat(F.coalesce(F.col("id"), F.col("number").cast("string")), F.lit(".js")))

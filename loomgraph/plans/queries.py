@@ -913,3 +913,25 @@ def typed_generation(spark, d):
     types.default("javascript")
     path = F.concat(id_, F.when(id_ % 4 == 0, ".json").when(id_ % 4 == 1, ".png").otherwise(".js"))
     return types.generate(table(spark, d, "pages").select("page_id", types.type_of(path).alias("module_type")))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT p_partkey AS entry, p_partkey AS chunk FROM part WHERE p_size = 1
+  UNION SELECT entry, dst FROM t JOIN part_edges ON src = chunk WHERE dyn = 1 AND src % 3 = 0) SELECT * FROM t""")
+def runtime_tree(spark, d):
+    children = view(spark, d, "part_edges").where("dyn = 1 AND src % 3 = 0")
+    return chunks.runtime_tree(_entries(spark, d).select(F.col("module").alias("entry")), children)
+
+
+@query(f"""
+WITH a AS (SELECT s_suppkey AS chunk, s_name AS name FROM supplier), x AS (SELECT -p_partkey AS chunk, regexp_replace(CASE WHEN p_partkey % 9 = 0 AND s_name IS NOT NULL THEN s_name ELSE p_name END, '[^A-Za-z0-9]', '_', 'g') AS short,
+  'async:k' || p_partkey AS "full" FROM part LEFT JOIN supplier ON s_suppkey = p_partkey),
+n AS (SELECT *, count(*) OVER (PARTITION BY short) = 1 AND short NOT IN (SELECT name FROM a) AS alone FROM x),
+b AS (SELECT *, CASE WHEN alone THEN short ELSE concat(short, '-', substr({_fnv_sql('"full"')}, 11, 6)) END AS base FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY base <> short, short, "full", chunk) - 2 AS k FROM b)
+SELECT chunk, name AS id, CAST(NULL AS BIGINT) AS number FROM a UNION ALL SELECT chunk, CASE WHEN k < 0 THEN base ELSE concat(base, '-', CAST(k AS VARCHAR)) END, NULL FROM r""")
+def chunk_ids(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("chunk"), F.col("s_name").alias("name"))
+    p = _parts(spark, d, "p_name").join(s, F.col("module") == F.col("chunk"), "left")
+    name = F.when((F.col("module") % 9 == 0) & F.col("name").isNotNull(), F.col("name")).otherwise(F.col("p_name"))
+    return naming.chunk_ids(s, p.select((-F.col("module")).alias("chunk"), name.alias("name"), F.concat(F.lit("k"), "module").alias("key")))

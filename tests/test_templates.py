@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from loomgraph.functions import text
-from loomgraph.operators import chunks, templates
+from loomgraph.operators import chunks, naming, templates
 from loomgraph.plans.registry import ModuleTypes, ParserHooks, hooked_dependencies
 from loomgraph.sources import store
 from pyspark.sql import functions as F
@@ -136,3 +136,23 @@ def test_one_writer_at_a_time(spark, tmp_path):
     with store.sole_writer(spark, root, "b", most_age_s=-1):
         pass
     assert not (tmp_path / "t" / "_writer" / "owner").exists()
+
+
+def test_chunks_do_not_take_the_ids_of_entries(spark):
+    entries = spark.createDataFrame([(1, "main"), (2, "admin")], "chunk int, name string")
+    roots = spark.createDataFrame([(3, "main", "k1"), (4, "./b/c.js", "k3"), (4, "./a.js", "k2"), (5, "./x.js", "k4")], "chunk int, name string, key string")
+    ids = {r.chunk: r.id for r in naming.chunk_ids(entries, roots).collect()}
+    assert ids[1] == "main" and ids[2] == "admin" and ids[4] == "a_js-b_c_js" and ids[5] == "x_js"
+    assert ids[3].startswith("main-") and len(ids) == len(set(ids.values()))
+    assert naming.chunk_ids(entries.limit(0), roots.limit(0)).collect() == []
+
+
+def test_an_entry_needs_what_its_runtime_tree_needs(spark):
+    entries = spark.createDataFrame([(1,), (9,)], "entry int")
+    children = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "src int, dst int")
+    tree = chunks.runtime_tree(entries, children)
+    assert {tuple(r) for r in tree.collect()} == {(1, 1), (1, 2), (1, 3), (9, 9)}
+    masks = spark.createDataFrame([(7, chunks.bit("define_getters"))], "module int, mask int")
+    members = spark.createDataFrame([(3, 7), (4, 7)], "chunk int, module int")
+    (found,) = chunks.requirement_tree(masks, members, tree, chunks.STARTUP).collect()
+    assert found.entry == 1 and found.mask == chunks.STARTUP | chunks.bit("define_getters") | chunks.bit("has_own")
