@@ -6,6 +6,7 @@ import pytest
 
 from loomgraph.functions import text
 from loomgraph.operators import chunks, naming, templates
+from loomgraph.plans import fixpoint
 from loomgraph.plans.registry import ModuleTypes, ParserHooks, hooked_dependencies
 from loomgraph.sources import store
 from pyspark.sql import functions as F
@@ -156,3 +157,28 @@ def test_an_entry_needs_what_its_runtime_tree_needs(spark):
     members = spark.createDataFrame([(3, 7), (4, 7)], "chunk int, module int")
     (found,) = chunks.requirement_tree(masks, members, tree, chunks.STARTUP).collect()
     assert found.entry == 1 and found.mask == chunks.STARTUP | chunks.bit("define_getters") | chunks.bit("has_own")
+
+
+def test_a_runtime_tree_is_not_written_pair_by_pair(spark, monkeypatch):
+    written = []
+
+    def noted(df, settle=fixpoint.settle):
+        written.append(settle(df))
+        return written[-1]
+
+    monkeypatch.setattr(fixpoint, "settle", noted)
+    ring = [(i, (i * 7 + k) % 300) for i in range(300) for k in (1, 2)] + [(5, 5), (400, 401), (402, None), (None, 7)]
+    entries = [*range(150), 400, 402, 500, None]
+    tree = chunks.runtime_tree(spark.createDataFrame([(e,) for e in [*entries, 3]], "entry int"), spark.createDataFrame(ring, "src int, dst int"))
+    want = set()
+    for e in entries:
+        seen, todo = {e}, [e]
+        while todo:
+            here = todo.pop()
+            new = {b for a, b in ring if a == here and a is not None} - seen
+            seen |= new
+            todo += new
+        want |= {(e, x) for x in seen}
+    got = [tuple(r) for r in tree.collect()]
+    assert len(got) == len(want) > 30_000 and set(got) == want
+    assert max(map(fixpoint.rows, written)) < len(want) / 16
