@@ -85,6 +85,27 @@ def test_random_plans(spark, seed):
     assert plan(spark, entries, static, dynamic)[0] == want
 
 
+@pytest.mark.parametrize("part", ["parents", "chunks"])
+def test_what_nobody_asks_for_is_not_written(spark, monkeypatch, part):
+    written = []
+
+    def noted(df, settle=chunks.settle):
+        written.append(settle(df))
+        return written[-1]
+
+    monkeypatch.setattr(chunks, "settle", noted)
+    monkeypatch.setattr(chunks, "SLICE_EDGES", 50)
+    static = [("e", f"m{i}") for i in range(60)] + [(f"t{i}", f"m{i}") for i in range(60)]
+    dynamic = [("e", f"t{i}") for i in range(60)] + [(f"t{i}", f"t{i + 1}") for i in range(59)]
+    args = edges(spark, static), edges(spark, dynamic, "origin string, target string"), spark.createDataFrame([("e",)], "entry string")
+    parents = {("e", f"t{i}") for i in range(60)} | {(f"t{i}", f"t{i + 1}") for i in range(59)}
+    if part == "parents":
+        assert sorted(map(tuple, chunks.chunk_parents(*args).collect())) == sorted(parents)
+    else:
+        assert sorted(map(tuple, chunks.chunk_plan(*args)[1].collect())) == sorted((f"t{i}", f"t{i}") for i in range(60))
+    assert max(map(chunks.rows, written)) < 400  # all that is available to the targets: 3,600 pairs
+
+
 def test_split_named_and_unnamed(spark):
     members = edges(spark, [("a", "ab"), ("b", "ab"), ("b", "bc"), ("c", "bc"), ("c", "own")], "chunk string, module string")
     assert {(r.chunks, r.module) for r in chunks.split_shared(members).collect()} == {("a,b", "ab"), ("b,c", "bc")}
